@@ -7,6 +7,7 @@ of its pieces, each taken with its leading space.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ def pieces(text: str) -> list[str]:
 def library(spec: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_str(spec)
     t.no_truncation()
     t.no_padding()
@@ -52,8 +54,6 @@ class Counts(dict):
         self.tokenizer = tokenizer
 
     def learn(self, missing: list[str]) -> None:
-        if len(self) + len(missing) > CACHE:
-            self.clear()
         for p, e in zip(missing, self.tokenizer.encode_batch([" " + p for p in missing], add_special_tokens=False), strict=True):
             self[p] = len(e.ids)
 
@@ -66,6 +66,8 @@ class Counts(dict):
         if None not in hits:
             return n + sum(hits)
         cold = [p for p, k in zip(rest, hits, strict=True) if k is None]
+        if len(self) > CACHE:
+            self.clear()
         missing = list({p for p in cold if p not in self})
         if missing:
             self.learn(missing)
