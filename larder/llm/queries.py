@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, simhash, token_counts
+from larder.llm import bpe, mixing, secrets, simhash, token_counts
+from larder.llm.common import checkpoint
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op4_simhash, op9_token_counts)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = documents(spark, sf_dir).select("doc_id", "text")
+    findings = checkpoint(secrets.scan(history)[0])
+    out = secrets.findings_by_path(history, findings)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["order"] < len(secrets.BASE))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op4_simhash, op9_token_counts, op10_secrets)}
 #: DuckDB twins, where SQL can express the query.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}
