@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, secrets, simhash, token_counts
+from larder.llm import bpe, mixing, quality, secrets, simhash, token_counts, toxicity, training
 from larder.llm.common import checkpoint
 
 
@@ -28,6 +28,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, labels(spark, sf_dir), training.fold(F.col("doc_id"), 5) != 0)
+    out = quality.score(docs, machine)
+    return out.select("doc_id", (training.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir), training.fold(F.col("doc_id"), 4) != 2)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (training.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -42,6 +60,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op4_simhash, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op4_simhash, op5_quality, op8_toxicity, op9_token_counts, op10_secrets)}
 #: DuckDB twins, where SQL can express the query.
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}
