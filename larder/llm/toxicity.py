@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are words and word stems. Some are a fixed lexicon; the others are proposed from
+Voters are words and word stems, found once, twice or more often. Some are a fixed lexicon; the others are proposed from
 labelled training rows where their excess among toxic ones could hardly be chance. The label model
 takes each voter to fire with one rate on toxic and another on clean text (estimated by
 expectation maximisation, the labels being one more, fallible voter), and voters that fire together more than their class
@@ -25,8 +25,8 @@ from larder.llm.training import MAX_ROWS, sample, sigmoid, words
 
 #: Insults that are voters whatever the labels say.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
-#: Lengths of the stems (patterns "stem*") that are proposed as voters beside whole words.
-STEMS = (3, 4, 5, 6)
+#: Lengths of the stems (patterns "stem*") that are proposed as voters beside whole words, and how often a voter may have to find its term.
+STEMS, TIMES = (3, 4, 5, 6, 7, 8, 9), (1, 2, 3)
 #: Voters proposed from labels at most; candidates that the driver sees at most; the chance at which an excess counts, over all candidates.
 MAX_VOTERS, CANDIDATES, CHANCE = 512, 4_096, 0.01
 #: Share of toxic rows, at least, among those in which a proposed voter fires.
@@ -39,14 +39,26 @@ def terms(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) >= n]]
 
 
+def tally(text: str) -> Iterator[str]:
+    """Each term with each of TIMES that it reaches, as "2 term"."""
+    found: Counter[str] = Counter()
+    for w, n in Counter(words(text.lower())).items():
+        for t in terms(w):
+            found[t] += n
+    for t, n in found.items():
+        for k in TIMES:
+            if n >= k:
+                yield f"{k} {t}"
+
+
 def propose(rows: DataFrame) -> list[str]:
-    """Terms in clear excess among the toxic rows of a sample (text, y), the clearest first."""
+    """Voters (a number of times and a term) in clear excess among the toxic rows of a sample (text, y), the clearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for b in batches:
             for t, y in zip(texts(b.column(0)), b.column(1), strict=True):
-                seen[y.as_py()].update({x for w in set(words(t.lower())) for x in terms(w)})
+                seen[y.as_py()].update(tally(t))
         names = list(seen[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
         rest = [x for x in seen[0] if x not in seen[1]]
@@ -72,11 +84,13 @@ def propose(rows: DataFrame) -> list[str]:
 
 
 class Voters:
-    """Counts of what each voter finds, by one lookup a word; the lookups of words are cached, in bounded memory."""
+    """How often each voter finds its term, by one lookup a word; the lookups of words are cached, in bounded memory."""
 
     def __init__(self, names: list[str]):
-        self.index = {t: i for i, t in enumerate(names)}
-        self.n = len(names)
+        split = [x.split(" ", 1) for x in names]
+        self.index = {t: i for i, t in enumerate(dict.fromkeys(t for _, t in split))}
+        self.term = np.array([self.index[t] for _, t in split], np.int64)
+        self.times = np.array([int(k) for k, _ in split], np.int32)
         outer = self
 
         class Hits(dict):
@@ -89,13 +103,13 @@ class Voters:
         self.hits = Hits()
 
     def count(self, text: str) -> tuple[np.ndarray, int]:
-        """(count of each voter, number of words)."""
+        """(what each voter finds from the number of times on that it asks for, number of words)."""
         w = words(text.lower())
-        out = np.zeros(self.n, np.int32)
+        out = np.zeros(len(self.index), np.int32)
         for found in filter(None, map(self.hits.__getitem__, w)):
             for i in found:
                 out[i] += 1
-        return out, len(w)
+        return np.maximum(out[self.term] - self.times + 1, 0), len(w)
 
 
 def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +186,7 @@ def fit(names: list[str], counts: np.ndarray, n_words: np.ndarray, y: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most max_rows labelled rows, see training.sample. What reaches the driver of each is a count for each voter."""
     rows = sample(docs, labels, label, usable, text_col=text_col, max_rows=max_rows)
-    names = list(dict.fromkeys([*LEXICON, *propose(rows)]))
+    names = list(dict.fromkeys([*[f"1 {w}" for w in LEXICON], *propose(rows)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(names)
