@@ -31,7 +31,7 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 #: Runs of up to so many fingerprints under a key are compared in pairs, longer ones by varying the block left out.
 PAIRS = 24
 #: Fingerprints varied at a time, and variants matched at a time.
-PORTION, VARIANTS = 4_096, 8_000_000
+PORTION, VARIANTS = 4_096, 1_000_000
 
 
 def bits(numbers: list[int]) -> np.ndarray:
