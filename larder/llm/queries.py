@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, quality, secrets, simhash, token_counts, toxicity, training
+from larder.llm import bpe, lattice, mixing, quality, secrets, simhash, token_counts, topk, toxicity, training
 from larder.llm.common import checkpoint
 
 
@@ -23,6 +23,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text")))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(embeddings(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,6 +72,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op4_simhash, op5_quality, op8_toxicity, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_topk, op4_simhash, op5_quality, op7_lattice, op8_toxicity, op9_token_counts, op10_secrets)}
 #: DuckDB twins, where SQL can express the query.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op10_secrets": secrets.ORACLE}
