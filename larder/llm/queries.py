@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, lattice, mixing, quality, secrets, simhash, token_counts, topk, toxicity, training
+from larder.llm import bpe, lattice, licenses, mixing, quality, secrets, simhash, token_counts, topk, toxicity, training
 from larder.llm.common import checkpoint
 
 
@@ -51,6 +51,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (training.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents(spark, sf_dir).select("doc_id", F.expr(licenses.LAYOUT).alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "own_license", "similarity", "license", "inherited_from")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, labels(spark, sf_dir), training.fold(F.col("doc_id"), 4) != 2)
@@ -72,6 +77,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256"), secrets.joined_spans(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_topk, op4_simhash, op5_quality, op7_lattice, op8_toxicity, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_topk, op4_simhash, op5_quality, op6_licenses, op7_lattice, op8_toxicity, op9_token_counts, op10_secrets)}
 #: DuckDB twins, where SQL can express the query.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op10_secrets": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
