@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("placing",)
 
 
 def queries() -> dict:
