@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.functions.rules import water_mark
 from larder.operators.index import PK, totals
+from larder.operators.lineage import checkpoint
 
 #: An object looks an hour older for each doubling above 64 KiB; candidates come in batches of 512.
 SIZE_WEIGHT_NS, SIZE_UNIT, BATCH = 3_600_000_000_000, 64 << 10, 512
-#: Rows of a range that one task numbers and sums.
-RANGE = 100_000
 
 
-def score(last_access_ns: Column, size: Column, weight_ns: int = SIZE_WEIGHT_NS, unit: int = SIZE_UNIT) -> Column:
-    """The lowest is evicted first."""
-    unit = unit if unit > 0 else SIZE_UNIT
-    return last_access_ns - (F.log2(1 + size / F.lit(float(unit))) * F.lit(float(weight_ns))).cast("long")
+#: Fixed value: the reciprocal of the natural logarithm of 2. Terms of the series below.
+RECIPROCAL, TERMS = 1.4426950408889634, 18
+
+
+def with_score(objects: DataFrame, weight_ns: int = SIZE_WEIGHT_NS, unit: int = SIZE_UNIT) -> DataFrame:
+    """objects with `score` = last access - weight * log2(1 + size / unit), the penalty truncated; the lowest is evicted first.
+
+    Libraries' logarithms differ in their last bits, which would show in nanoseconds. The logarithm is therefore taken as the
+    exponent plus a series in s = (f - 1) / (f + 1) for the fraction f in [1/2, 1): plain arithmetic, alike everywhere.
+    """
+    rows = objects.withColumn("_x", 1 + F.col("size") / F.lit(float(unit if unit > 0 else SIZE_UNIT)))
+    rows = rows.withColumn("_e", F.floor(F.log2("_x")) + 1)
+    f = F.col("_x") / F.pow(F.lit(2.0), F.col("_e"))
+    rows = rows.withColumn("_f", f).withColumn("_s", (F.col("_f") - 1) / (F.col("_f") + 1)).withColumn("_z", F.col("_s") * F.col("_s"))
+    series = F.lit(1.0 / (2 * TERMS - 1))
+    for k in range(TERMS - 2, -1, -1):
+        series = F.lit(1.0 / (2 * k + 1)) + F.col("_z") * series
+    log2 = F.when(F.col("_f") == 0.5, (F.col("_e") - 1).cast("double")).otherwise(F.col("_e") + 2 * F.col("_s") * series * F.lit(RECIPROCAL))
+    return rows.withColumn("score", F.col("last_access_ns") - (log2 * F.lit(float(weight_ns))).cast("long")).drop("_x", "_e", "_f", "_s", "_z")
 
 
 def _numbered(objects: DataFrame) -> DataFrame:
     """objects with `n` from 0 in the order of last access, ns, key, without bringing them to one task: they are
-    dealt by ranges of the last access, numbered within each, and moved on by the ranges' counts."""
-    spread = objects.repartitionByRange("last_access_ns", *PK).withColumn("_part", F.spark_partition_id())
+    dealt by ranges, numbered within each, and moved on by the ranges' counts. The ranges come from a sample, so the
+    dealt rows are checkpointed: both uses see the same."""
+    spread = checkpoint(objects.repartitionByRange("last_access_ns", *PK).withColumn("_part", F.spark_partition_id()))
     within = W.partitionBy("_part").orderBy("last_access_ns", *PK)
     numbered = spread.withColumn("_i", F.row_number().over(within))
     counts = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
@@ -41,7 +56,7 @@ def victims(objects: DataFrame, max_bytes: int, high: float, low: float, weight_
     """
     used = totals(objects).select("bytes", water_mark(F.lit(max_bytes), F.lit(high)).alias("high"), water_mark(F.lit(max_bytes), F.lit(low)).alias("low"))
     must = F.broadcast(used.where("bytes > high").select((F.col("bytes") - F.col("low")).alias("must")))
-    rows = _numbered(objects).withColumn("batch", F.floor(F.col("n") / batch)).withColumn("score", score(F.col("last_access_ns"), F.col("size"), weight_ns, unit))
+    rows = with_score(_numbered(objects).withColumn("batch", F.floor(F.col("n") / batch)), weight_ns, unit)
     sums = rows.groupBy("batch").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_count"))
     so_far = W.orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = sums.select("batch", (F.sum("_bytes").over(so_far) - F.col("_bytes")).alias("_freed"), (F.sum("_count").over(so_far) - F.col("_count")).alias("_rank"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.functions.hashing import sha256_hex, valid_key
@@ -39,15 +40,12 @@ def claim_blocks(texts: DataFrame) -> DataFrame:
     """Blocks of lines between blank lines (path, block, line_no, body), a block that opens with a table row belonging to the one before it."""
     lines = texts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("i", "line"))
     blank = F.trim(F.col("line")) == ""
-    # number the blocks of each text: within a text, as it is one value of one row before it is exploded
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("path").orderBy("i")
     marked = lines.withColumn("opens", ~blank & F.coalesce(F.lag(blank).over(order), F.lit(True)))
     table = F.ltrim(F.col("line")).startswith("|")
-    seen = F.coalesce(F.max(F.when(~blank, 1)).over(order.rowsBetween(-(2**31), -1)), F.lit(0)) > 0
+    seen = F.coalesce(F.max(F.when(~blank, 1)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) > 0
     starts = F.col("opens") & ~(table & seen)
-    numbered = marked.withColumn("block", F.sum(starts.cast("int")).over(order.rowsBetween(-(2**31), 0))).where(~blank)
+    numbered = marked.withColumn("block", F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).where(~blank)
     return numbered.groupBy("path", "block").agg(F.min("i").alias("line_no"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"))
 
 
