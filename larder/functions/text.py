@@ -48,7 +48,7 @@ def short_commit(commit: Column) -> Column:
 
 def parse_peers(x: Column) -> Column:
     """Array of (name, url) of "name=url,...", urls without trailing slashes; malformed ones have nulls, repeated names stay."""
-    parts = F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
     name = lambda p: F.trim(F.regexp_extract(p, "^([^=]*)=", 1))
     url = lambda p: F.regexp_replace(F.trim(F.regexp_extract(p, "^[^=]*=(.*)$", 1)), "/+$", "")
     return F.transform(parts, lambda p: F.struct(F.nullif(name(p), F.lit("")).alias("name"), F.nullif(url(p), F.lit("")).alias("url")))
