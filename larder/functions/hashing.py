@@ -75,13 +75,16 @@ def _fold(x: Column, n: int) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, n))
 
 
+#: The finaliser step by step.
+STEPS = (lambda x: _fold(x, SHIFTS[0]), lambda x: _times(x, FIRST_MULTIPLIER), lambda x: _fold(x, SHIFTS[1]), lambda x: _times(x, SECOND_MULTIPLIER), lambda x: _fold(x, SHIFTS[2]))
+
+
 def with_weight(df: DataFrame, key: str, member: str, name: str = "weight") -> DataFrame:
     """df with the weight of two seeds. One step a projection, so that no step's expression is written out several times in the next."""
-    step = f"_{name}"
-    df = df.withColumn(step, _fold(F.col(key).bitwiseXOR(F.col(member)), SHIFTS[0]))
-    df = df.withColumn(step, _times(F.col(step), FIRST_MULTIPLIER)).withColumn(step, _fold(F.col(step), SHIFTS[1]))
-    df = df.withColumn(step, _times(F.col(step), SECOND_MULTIPLIER)).withColumn(step, _fold(F.col(step), SHIFTS[2]))
-    return df.withColumnRenamed(step, name)
+    df = df.withColumn(name, F.col(key).bitwiseXOR(F.col(member)))
+    for step in STEPS:
+        df = df.withColumn(name, step(F.col(name)))
+    return df
 
 
 def unsigned_order(x: Column) -> Column:

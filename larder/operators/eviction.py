@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.rules import water_mark
 from larder.operators.index import PK, totals
-from larder.operators.lineage import checkpoint
+from larder.operators.ranges import numbered
 
 #: An object looks an hour older for each doubling above 64 KiB; candidates come in batches of 512.
 SIZE_WEIGHT_NS, SIZE_UNIT, BATCH = 3_600_000_000_000, 64 << 10, 512
@@ -35,18 +35,6 @@ def with_score(objects: DataFrame, weight_ns: int = SIZE_WEIGHT_NS, unit: int =
     return rows.withColumn("score", F.col("last_access_ns") - (log2 * F.lit(float(weight_ns))).cast("long")).drop("_x", "_e", "_f", "_s", "_z")
 
 
-def _numbered(objects: DataFrame) -> DataFrame:
-    """objects with `n` from 0 in the order of last access, ns, key, without bringing them to one task: they are
-    dealt by ranges, numbered within each, and moved on by the ranges' counts. The ranges come from a sample, so the
-    dealt rows are checkpointed: both uses see the same."""
-    spread = checkpoint(objects.repartitionByRange("last_access_ns", *PK).withColumn("_part", F.spark_partition_id()))
-    within = W.partitionBy("_part").orderBy("last_access_ns", *PK)
-    numbered = spread.withColumn("_i", F.row_number().over(within))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn("n", F.col("_before") + F.col("_i") - 1).drop("_part", "_i", "_before")
-
-
 def victims(objects: DataFrame, max_bytes: int, high: float, low: float, weight_ns: int = SIZE_WEIGHT_NS, unit: int = SIZE_UNIT, batch: int = BATCH) -> DataFrame:
     """The rows that a sweep evicts, with `score` and `order` (from 1): nothing up to the high-water mark, else batch after batch
     of the coldest, each by score, until usage is at the low-water mark. Size weighs only within a batch.
@@ -56,7 +44,7 @@ def victims(objects: DataFrame, max_bytes: int, high: float, low: float, weight_
     """
     used = totals(objects).select("bytes", water_mark(F.lit(max_bytes), F.lit(high)).alias("high"), water_mark(F.lit(max_bytes), F.lit(low)).alias("low"))
     must = F.broadcast(used.where("bytes > high").select((F.col("bytes") - F.col("low")).alias("must")))
-    rows = with_score(_numbered(objects).withColumn("batch", F.floor(F.col("n") / batch)), weight_ns, unit)
+    rows = with_score(numbered(objects, "last_access_ns", *PK).withColumn("batch", F.floor(F.col("n") / batch)), weight_ns, unit)
     sums = rows.groupBy("batch").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_count"))
     so_far = W.orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = sums.select("batch", (F.sum("_bytes").over(so_far) - F.col("_bytes")).alias("_freed"), (F.sum("_count").over(so_far) - F.col("_count")).alias("_rank"))

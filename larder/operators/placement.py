@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions.hashing import MEMBER_SEEDS, key_seed, signed, unsigned_order, with_weight
+from larder.functions.hashing import MEMBER_SEEDS, STEPS, key_seed, signed, unsigned_order, with_weight
 
 #: A cluster is a configured list; more members than this are refused, so that broadcasting it stays safe.
 MAX_MEMBERS = 10_000
@@ -29,27 +28,48 @@ def scores(keys: DataFrame, cluster: DataFrame, key: str = "key") -> DataFrame:
     return with_weight(pairs, "_k", "_m").drop("_k", "_m")
 
 
+def _stepped(step):
+    return lambda m: F.struct(m["name"].alias("name"), step(m["x"]).alias("x"))
+
+
+def owners(keys: DataFrame, cluster: DataFrame, key: str = "key") -> DataFrame:
+    """keys with `owners`: all member names by descending unsigned weight, then name.
+
+    The members are a constant of the expression and the ranking is made within the row, so no row moves.
+    """
+    listed = cluster.select("name", "seed").collect()  # a configured list, see MAX_MEMBERS
+    members_ = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["seed"]).cast("long").alias("x")) for r in listed])
+
+    def rank(k: Column) -> Column:
+        rows = F.transform(members_, lambda m: F.struct(m["name"].alias("name"), m["x"].bitwiseXOR(k).alias("x")))
+        for step in STEPS:  # each binds the value before it, so that it is written out once
+            rows = F.transform(rows, _stepped(step))
+        order = F.sort_array(F.transform(rows, lambda m: F.struct((-1 - unsigned_order(m["x"])).alias("w"), m["name"].alias("name"))))
+        return F.transform(order, lambda m: m["name"])
+
+    return keys.withColumn("owners", F.transform(F.array(key_seed(F.col(key))), rank)[0])
+
+
 def ranked(keys: DataFrame, cluster: DataFrame, key: str = "key") -> DataFrame:
-    """One row per key and member with `rank` from 1; keys must be distinct."""
-    order = W.partitionBy(key).orderBy(F.desc(unsigned_order(F.col("weight"))), "name")
-    return scores(keys, cluster, key).withColumn("rank", F.row_number().over(order)).drop("weight")
+    """One row per row of keys and member: name and `rank` from 1."""
+    return owners(keys, cluster, key).select(*keys.columns, F.posexplode("owners").alias("_p", "name")).withColumn("rank", F.col("_p") + 1).drop("_p")
 
 
 def primary(keys: DataFrame, cluster: DataFrame, key: str = "key") -> DataFrame:
-    """Each key with its first owner as `name`: one aggregation with partial results in place of a sort."""
-    best = F.min_by("name", F.struct(-1 - unsigned_order(F.col("weight")), "name"))
-    return scores(keys.select(key), cluster, key).groupBy(key).agg(best.alias("name"))
+    """Each key with its first owner as `name`."""
+    return owners(keys.select(key), cluster, key).select(key, F.col("owners")[0].alias("name"))
 
 
 def holders(keys: DataFrame, cluster: DataFrame, n: int, key: str = "key") -> DataFrame:
-    """The first n members of each key, n held between 1 and the cluster's size."""
-    return ranked(keys, cluster, key).where(F.col("rank") <= max(1, n))
+    """The first n members of each key, one a row with `rank`; n is held between 1 and the cluster's size."""
+    first = owners(keys, cluster, key).select(*keys.columns, F.posexplode(F.slice("owners", 1, max(1, n))).alias("_p", "name"))
+    return first.withColumn("rank", F.col("_p") + 1).drop("_p")
 
 
 def holder_lists(keys: DataFrame, cluster: DataFrame, n: int, key: str = "key") -> DataFrame:
     """Each key with its holders in order as an array and as joined names."""
-    lists = holders(keys, cluster, n, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("_r"))
-    return lists.select(key, F.col("_r.name").alias("holders"), F.array_join("_r.name", ",").alias("holder_names"))
+    first = F.slice("owners", 1, max(1, n))
+    return owners(keys.select(key), cluster, key).select(key, first.alias("holders"), F.array_join(first, ",").alias("holder_names"))
 
 
 def holds(keys: DataFrame, cluster: DataFrame, node: str, n: int, key: str = "key") -> DataFrame:
@@ -70,8 +90,8 @@ def imbalance(loads: DataFrame) -> DataFrame:
 
 
 def movement(keys: DataFrame, before: DataFrame, after: DataFrame, n: int, key: str = "key") -> DataFrame:
-    """What a change of membership moves: primaries, and holder sets whatever their order."""
-    old, new = (holder_lists(keys, c, n, key).select(key, F.col("holders").alias(a)) for c, a in ((before, "old"), (after, "new")))
-    both = old.join(new, key)
-    moved, changed = F.col("old")[0] != F.col("new")[0], F.array_sort("old") != F.array_sort("new")
-    return both.agg(F.count("*").alias("keys"), F.count_if(moved).alias("moved"), F.count_if(changed).alias("holder_sets_changed"))
+    """What a change of membership moves: primaries, and holder sets whatever their order. Both rankings are made of the same row, so nothing is joined."""
+    old = owners(keys.select(key), before, key).withColumnRenamed("owners", "_old")
+    both = owners(old, after, key)
+    first = lambda c: F.array_sort(F.slice(c, 1, max(1, n)))
+    return both.agg(F.count("*").alias("keys"), F.count_if(F.col("_old")[0] != F.col("owners")[0]).alias("moved"), F.count_if(first("_old") != first("owners")).alias("holder_sets_changed"))

@@ -1,6 +1,9 @@
 """Rows of a Spark result against those of a DuckDB statement, whatever their order."""
 
 import math
+import os
+
+SF = os.environ.get("LARDER_TEST_SF", "/root/testdata/sf0.001")
 
 
 def plain(x):

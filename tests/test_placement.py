@@ -90,6 +90,13 @@ def test_empty_keys(spark):
     assert P.imbalance(P.load(P.primary(none, cluster), cluster)).first()["imbalance"] == 0
 
 
-def test_placement_needs_no_join_shuffle_before_ranking(spark):
-    plan = P.scores(generators.sequence_keys(spark, 10), P.members(spark, ["node-a", "node-b"]))._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "hashpartitioning" not in plan
+def test_ranking_moves_no_row(spark):
+    keys, cluster = generators.sequence_keys(spark, 50).select("key"), P.members(spark, ["node-a", "node-b", "node-c"])
+    holders = P.holders(keys, cluster, 2)
+    assert "Exchange" not in holders._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["key"], r["rank"], r["name"]) for r in holders.collect())
+    assert got == sorted((r["key"], i + 1, n) for r in keys.collect() for i, n in enumerate(owners(r["key"], ["node-a", "node-b", "node-c"])[:2]))
+    best = {}
+    for r in P.scores(keys, cluster).collect():
+        best[r["key"]] = max(best.get(r["key"], (-1, "")), (r["weight"] & M64, r["name"]))
+    assert {k: n for k, (_, n) in best.items()} == {r["key"]: r["name"] for r in P.primary(keys, cluster).collect()}
