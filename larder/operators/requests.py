@@ -14,24 +14,44 @@ PERCENTILES = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99, "p9
 ERROR_SAMPLES = 32
 
 
-def nearest_rank(sizes: Column, p: float) -> Column:
-    """The rank, from 1, of a percentile among so many."""
-    return F.greatest(F.lit(1), F.least(F.ceil(F.lit(p) * sizes), sizes))
+#: Low bits of a latency that the coarse histogram leaves out: buckets of some 66 microseconds.
+FINE_BITS = 16
 
 
-def latency_summary(requests: DataFrame, *by: str) -> DataFrame:
-    """Count, extremes, mean and nearest-rank percentiles of latency_ns, per group; all zero for an empty table when not grouped.
+def percentiles(rows: DataFrame, value: str, ranks: dict[str, float], *by: str) -> DataFrame:
+    """by, count, total, min, max and the nearest-rank percentiles of a non-negative long, per group.
 
-    Latencies are counted by value first, so what is sorted per group is distinct values with their counts.
+    Exact, from two levels of histograms: counts by the high bits show in which bucket each rank falls, and only those buckets are
+    counted by value. A window sees a group's buckets, or the 2 ** FINE_BITS values of one bucket, and never a group's rows. Nulls in `value` don't count.
     """
-    counts = requests.groupBy(*by, "latency_ns").agg(F.count("*").alias("_n"))
-    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ns)").alias(n) for n, p in PERCENTILES.items()]
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("count"), F.min("latency_ns").alias("min_ms"), F.try_divide(F.sum(F.col("latency_ns") * F.col("_n")), F.sum("_n")).alias("_mean"), F.max("latency_ns").alias("max_ms"))
-    sums = requests.groupBy(*by).agg(F.sum("latency_ns").alias("_sum"), *exact)
-    both = sizes.join(sums, list(by)) if by else sizes.crossJoin(sums)
-    mean = F.coalesce(F.expr("_sum div count"), F.lit(0).cast("long"))
-    zero = lambda c: F.coalesce(milliseconds(c), F.lit(0.0))
-    return both.select(*by, F.coalesce("count", F.lit(0)).cast("long").alias("count"), zero(F.col("min_ms")).alias("min_ms"), zero(mean).alias("mean_ms"), *[zero(F.col(n)).alias(n) for n in PERCENTILES], zero(F.col("max_ms")).alias("max_ms"))
+    rows = rows.select(*by, F.col(value).alias("_v")).where("_v IS NOT NULL")
+    coarse = rows.groupBy(*by, F.shiftright("_v", FINE_BITS).alias("_hi")).agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    every = W.partitionBy(*by)
+    upto = every.orderBy("_hi").rowsBetween(W.unboundedPreceding, W.currentRow)
+    coarse = coarse.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(every)})
+    wanted = [F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.least(F.ceil(F.lit(p) * F.col("_all")), F.col("_all"))).alias("rank")) for n, p in ranks.items()]
+    falls = coarse.select(*by, "_hi", "_upto", "_n", F.inline(F.array(*wanted))).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+    falls = falls.select(*by, "_hi", "name", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"))
+    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    chosen = falls.select(*by, "_hi").distinct()
+    inside = rows.withColumn("_hi", F.shiftright("_v", FINE_BITS)).alias("r").join(chosen.alias("c"), same("r", "c", [*by, "_hi"]), "left_semi")
+    fine = inside.groupBy(*by, "_hi", "_v").agg(F.count("*").alias("_n"))
+    fine = fine.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by, "_hi").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    hit = fine.alias("f").join(falls.alias("p"), [*same("f", "p", [*by, "_hi"]), (F.col("rank") <= F.col("f._upto")) & (F.col("rank") > F.col("f._upto") - F.col("f._n"))])
+    found = hit.groupBy(*[F.col(f"f.{c}").alias(c) for c in by]).agg(*[F.max(F.when(F.col("name") == n, F.col("f._v"))).alias(n) for n in ranks])
+    sums = coarse.groupBy(*by).agg(F.sum("_n").alias("count"), F.sum("_sum").alias("total"), F.min("_min").alias("min"), F.max("_max").alias("max"))
+    if not by:
+        return sums.crossJoin(found)
+    joined = sums.alias("s").join(found.alias("x"), same("s", "x", by))
+    return joined.select(*[F.col(f"s.{c}").alias(c) for c in by], "count", "total", "min", "max", *ranks)
+
+
+def latency_summary(requests: DataFrame, *by: str) -> DataFrame:
+    """Count, extremes, mean (of whole nanoseconds) and nearest-rank percentiles of latency_ns in milliseconds, per group; all zero for an empty table when not grouped."""
+    out = percentiles(requests, "latency_ns", PERCENTILES, *by)
+    mean = F.expr("total div nullif(count, 0)")
+    ms = lambda c: F.coalesce(milliseconds(c), F.lit(0.0))
+    return out.select(*by, F.coalesce("count", F.lit(0)).cast("long").alias("count"), ms(F.col("min")).alias("min_ms"), ms(mean).alias("mean_ms"), *[ms(F.col(n)).alias(n) for n in PERCENTILES], ms(F.col("max")).alias("max_ms"))
 
 
 def latency_histogram(requests: DataFrame, *by: str) -> DataFrame:

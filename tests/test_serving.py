@@ -26,6 +26,20 @@ def test_percentiles_are_nearest_rank(spark):
             assert r[name] == xs[min(max(math.ceil(p * n), 1), n) - 1] // 1000 / 1000
 
 
+def test_percentiles_by_group_over_many_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), rng.choice([5, 1_000_000, rng.randrange(10**7)])) for _ in range(3_000)] + [("c", 7), ("a", None)]
+    for bits in (16, 4):
+        monkeypatch.setattr(Q, "FINE_BITS", bits)
+        got = {r["g"]: r for r in Q.percentiles(spark.createDataFrame(data, "g string, v long"), "v", {"p0": 0.0, "half": 0.5, "p99": 0.99, "all": 1.0}, "g").collect()}
+        for g in ("a", "b", "c", None):
+            xs = sorted(v for k, v in data if k == g and v is not None)
+            rank = lambda p: xs[min(max(math.ceil(p * len(xs)), 1), len(xs)) - 1]  # noqa: B023, E731
+            r = got[g]
+            assert (r["count"], r["total"], r["min"], r["max"]) == (len(xs), sum(xs), xs[0], xs[-1])
+            assert (r["p0"], r["half"], r["p99"], r["all"]) == (rank(0.0), rank(0.5), rank(0.99), rank(1.0))
+
+
 def test_median_run(spark):
     runs = spark.createDataFrame([(1, 100.0), (2, 900.0), (3, 200.0)], "run int, ops_per_sec double")
     r = Q.median_run(runs).first()
