@@ -42,3 +42,18 @@ def layered_graph(spark: SparkSession, libraries: int, layers: int, fan_in: int,
     edges = libs.select("target", "layer", first.alias("first"), width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(fan_in - 1))).alias("k"))
     dep = F.col("first") + F.pmod(F.xxhash64(F.lit(seed), "target", "k"), F.col("width"))
     return edges.where("width > 0").select("target", dep.cast("long").alias("dep")).distinct()
+
+
+def fault_schedule(spark: SparkSession, nodes: list[str], seconds: int, every: int, down: int) -> DataFrame:
+    """(fault, node, from_s, to_s): one node down at a time, in turn, as long as the run lasts."""
+    names = F.array(*map(F.lit, nodes))
+    rows = spark.range(max(0, seconds // every)).select(F.col("id").alias("fault"), F.element_at(names, (F.col("id") % len(nodes) + 1).cast("int")).alias("node"), ((F.col("id") + 1) * every).alias("from_s"))
+    return rows.withColumn("to_s", F.least(F.col("from_s") + down, F.lit(seconds))).where("from_s < to_s")
+
+
+def mixed_operations(spark: SparkSession, count: int, objects: int, seed: int, read_share: float = 0.8, miss_share: float = 0.2) -> DataFrame:
+    """(id, op, object): a reproducible mix of reads of known objects, reads of absent ones (object null) and writes."""
+    u = lambda n: (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0))
+    op = F.when(u(1) < read_share, F.when(u(2) < miss_share, "miss").otherwise("get")).otherwise("put")
+    rows = spark.range(count).withColumn("op", op)
+    return rows.withColumn("object", F.when(F.col("op") != "miss", F.pmod(F.xxhash64(F.lit(seed), F.lit(3), "id"), F.lit(objects))))
