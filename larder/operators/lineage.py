@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder and read from it from now on; a temporary folder only where none is set (tests, local runs)."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the session's spark.checkpoint.dir; sets a temporary one only where it is unset (tests, local runs)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-checkpoints-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read from it from now on."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
