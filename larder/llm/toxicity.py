@@ -27,11 +27,13 @@ from larder.llm.training import MAX_ROWS, sample, sigmoid, words
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
 #: Lengths of the stems (patterns "stem*") that are proposed as voters beside whole words, and how often a voter may have to find its term.
 STEMS, TIMES = (3, 4, 5, 6, 7, 8, 9), (1, 2, 3)
-#: Voters proposed from labels at most; candidates that the driver sees at most; the chance at which an excess counts, over all candidates.
-MAX_VOTERS, CANDIDATES, CHANCE = 512, 4_096, 0.01
+#: Voters proposed from labels at most; the chance at which an excess counts, over all candidates.
+MAX_VOTERS, CHANCE = 512, 0.01
+#: Terms that a task counts before it passes their sums on.
+TERMS = 150_000
 #: Share of toxic rows, at least, among those in which a proposed voter fires.
 PRECISION = 0.6
-CACHE = 400_000
+CACHE = 250_000
 
 
 def terms(word: str) -> list[str]:
@@ -56,15 +58,20 @@ def propose(rows: DataFrame) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def sums() -> pa.RecordBatch:
+            names = list({**seen[0], **seen[1]})
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([seen[y][x] for x in names], pa.int64()) for y in (1, 0)]], names=["term", "toxic", "clean"])
+            seen[0].clear()
+            seen[1].clear()
+            return out
+
         for b in batches:
             for t, y in zip(texts(b.column(0)), b.column(1), strict=True):
                 seen[y.as_py()].update(tally(t))
-        names = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
-        rest = [x for x in seen[0] if x not in seen[1]]
-        for k in range(0, len(rest), 50_000):
-            part = rest[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([0] * len(part), pa.int64()), pa.array([seen[0][x] for x in part], pa.int64())], names=["term", "toxic", "clean"])
+                if len(seen[0]) + len(seen[1]) > TERMS:
+                    yield sums()
+        yield sums()
 
     total = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -79,8 +86,8 @@ def propose(rows: DataFrame) -> list[str]:
     clear = tried.where((a >= PRECISION * (a + c)) & (a + c < n1 + n0)).withColumn("g", 2 * (part(a, F.lit(n1)) + part(c, F.lit(n0))))
     n = max(tried.count(), 1)
     least = 2 * np.log(n / CHANCE)  # the ratio's tail is about exp(-g / 2)
-    top = clear.where(F.col("g") > float(least)).orderBy(F.desc("g"), F.length("term"), "term").limit(CANDIDATES).collect()
-    return [r["term"] for r in top[:MAX_VOTERS]]
+    top = clear.where(F.col("g") > float(least)).orderBy(F.desc("g"), F.length("term"), "term").limit(MAX_VOTERS).collect()
+    return [r["term"] for r in top]
 
 
 class Voters:
@@ -119,23 +126,27 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.
     correlations, within the classes, with all voters, so that a crowd that always fires together counts about once.
     """
     n, m = votes.shape
-    v = votes.astype(np.float64)
+    v = votes.astype(np.float32)  # zeros and ones: their products are exact
+    both = (v.T @ v).astype(np.float64)
     post = np.where(y == 1, 0.95, 0.05)
     weight = np.ones(m)
     for _ in range(rounds):
         p1, p0 = post.sum(), (1 - post).sum()
-        t1, t0 = (post @ v + 0.1) / (p1 + 1), ((1 - post) @ v + 0.1) / (p0 + 1)
+        in1, in0 = (x.astype(np.float32) @ v for x in (post, 1 - post))
+        t1, t0 = (in1.astype(np.float64) + 0.1) / (p1 + 1), (in0.astype(np.float64) + 0.1) / (p0 + 1)
         right = (post * (y == 1)).sum() + 1, ((1 - post) * (y == 0)).sum() + 1
         a1, a0 = min(right[0] / (p1 + 2), 0.99), min(right[1] / (p0 + 2), 0.99)
         if m:
-            centred = v - np.outer(post, t1) - np.outer(1 - post, t0)
-            cov = centred.T @ centred / n
+            # the covariance of what a voter fires beyond its rates, from sums alone
+            mixed = np.outer(in1, t1) + np.outer(in0, t0)
+            cross = (post * (1 - post)).sum() * np.outer(t1, t0)
+            cov = (both - mixed - mixed.T + (post**2).sum() * np.outer(t1, t1) + cross + cross.T + ((1 - post) ** 2).sum() * np.outer(t0, t0)) / n
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.clip(cov / np.outer(sd, sd), 0, 1)
             corr[corr < 0.2] = 0
             weight = 1 / np.maximum(corr.sum(axis=1), 1)
         fire, rest = np.log(t1 / t0), np.log((1 - t1) / (1 - t0))
-        raw = np.log((p1 + 1) / (p0 + 1)) + v @ (weight * (fire - rest)) + (weight * rest).sum()
+        raw = np.log((p1 + 1) / (p0 + 1)) + (v @ (weight * (fire - rest)).astype(np.float32)).astype(np.float64) + (weight * rest).sum()
         raw += np.where(y == 1, np.log(a1 / (1 - a0)), np.log((1 - a1) / a0))
         new = sigmoid(raw)
         if np.abs(new - post).max() < 1e-6:
@@ -171,12 +182,16 @@ def fit(names: list[str], counts: np.ndarray, n_words: np.ndarray, y: np.ndarray
         m.w[0] = np.log(share / (1 - share))
         return m
     target, m.share = label_model(counts > 0, y)
-    x = m.inputs(counts, n_words, m.share)
-    penalty = np.full(x.shape[1], ridge)
+    penalty = np.full(len(m.w), ridge)
     penalty[0] = 1e-6
     for _ in range(30):
-        p = sigmoid(x @ m.w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (target - p) - penalty * m.w)
+        curve, slope = np.diag(penalty), -penalty * m.w
+        for k in range(0, len(y), 1_000):  # the inputs of a thousand rows at a time
+            x = m.inputs(counts[k : k + 1_000], n_words[k : k + 1_000], m.share)
+            p = sigmoid(x @ m.w)
+            curve += (x * (p * (1 - p))[:, None]).T @ x
+            slope += x.T @ (target[k : k + 1_000] - p)
+        step = np.linalg.solve(curve, slope)
         m.w += step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
@@ -192,10 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
         voters = Voters(names)
         for b in batches:
             made = [voters.count(t) for t in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([c.astype("<i4").tobytes() for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), b.column(1)], names=["counts", "n", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(c, 65_535).astype("<u2").tobytes() for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), b.column(1)], names=["counts", "n", "y"])
 
     got = rows.select("text", "y").mapInArrow(run, "counts binary, n long, y int").orderBy("y", "n", F.xxhash64("counts")).toArrow()
-    counts = np.frombuffer(b"".join(x.as_py() for x in got.column(0)), "<i4").reshape(got.num_rows, len(names))
+    counts = np.empty((got.num_rows, len(names)), "<u2")
+    for i, x in enumerate(got.column(0)):
+        counts[i] = np.frombuffer(x.as_py(), "<u2")
     return fit(names, counts, got.column(1).to_numpy().astype(float), got.column(2).to_numpy())
 
 
