@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from larder.llm.common import extended, sliced, texts, with_fields, without
+from larder.llm.common import extended, mapped, sliced, texts, with_fields, without
 
 #: A word's last symbol, where the vocabulary marks word ends, is its byte's symbol plus this.
 END = 0x1000
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decoded
                     cols["decoded"] = pa.array([c.decode(p) for p in packed], pa.binary()).cast(pa.string())
                 yield extended(batch.slice(start, stop - start), cols)
 
-    return docs.mapInArrow(run, with_fields(docs, new))
+    return docs.transform(mapped, run, with_fields(docs, new))
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -269,4 +269,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, ids_col: str = "token_ids") -
                 out = [c.decode(x.as_py() or b"") for x in column.slice(start, stop - start)]
                 yield extended(batch.slice(start, stop - start), {"decoded": pa.array(out, pa.binary()).cast(pa.string())})
 
-    return tokens.mapInArrow(run, with_fields(tokens, [T.StructField("decoded", T.StringType())]))
+    return tokens.transform(mapped, run, with_fields(tokens, [T.StructField("decoded", T.StringType())]))

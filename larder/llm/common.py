@@ -3,27 +3,39 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from larder.operators.lineage import checkpoint, ensure_checkpoint_dir
+
+__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "texts", "with_fields", "without"]
+
 #: Rows and bytes of an Arrow batch that a Python operator hands back to the JVM.
 OUT_ROWS, OUT_BYTES = 2_000, 8 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a temporary one only where it is unset (tests, local runs)."""
+def share_code(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a SparkContext, so that their Python workers can import it wherever they run. The driver serves the file."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-checkpoints-"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if getattr(sc, "_larder_shared", None) is None:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="larder-code-")) / "larder.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"{package.name}/{f.relative_to(package).as_posix()}")
+        sc.addPyFile(str(archive))
+        sc._larder_shared = True
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema), on workers that have this package."""
+    share_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

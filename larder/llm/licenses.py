@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import checkpoint, extended, texts, with_fields, without
+from larder.llm.common import checkpoint, extended, mapped, texts, with_fields, without
 
 #: How licences are named in headers and begin in licence files.
 TEMPLATES = (
@@ -119,7 +119,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
             found = [matcher.of(t, w.as_py()) for t, w in zip(texts(b.column(b.schema.names.index(text_col))), b.column(b.schema.names.index("_whole")), strict=True)]
             yield extended(b, {"own_license": pa.array([x for x, _ in found], pa.string()), "similarity": pa.array([s for _, s in found], pa.float64())})
 
-    own = files.mapInArrow(run, with_fields(files, [T.StructField("own_license", T.StringType()), T.StructField("similarity", T.DoubleType())]))
+    own = files.transform(mapped, run, with_fields(files, [T.StructField("own_license", T.StringType()), T.StructField("similarity", T.DoubleType())]))
     return inherited(checkpoint(own.drop(text_col)), path_col)
 
 

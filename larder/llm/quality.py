@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import extended, texts, with_fields, without
+from larder.llm.common import extended, mapped, texts, with_fields, without
 from larder.llm.training import MAX_ROWS, sample, sigmoid, words
 
 #: Buckets of hashed words, rank of the interactions, bins of each statistic.
@@ -134,14 +134,13 @@ def _featured(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
             made = [features(t, s.as_py(), buckets) for t, s in zip(texts(b.column(0)), b.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary()), b.column(1)], names=["ids", "stats", "y"])
 
-    got = rows.mapInArrow(run, "ids binary, stats binary, y int").orderBy(F.xxhash64("ids", "stats"), "y").toArrow()
+    got = rows.transform(mapped, run, "ids binary, stats binary, y int").orderBy(F.xxhash64("ids", "stats"), "y").toArrow()
     return [(np.frombuffer(i.as_py(), "<u2").astype(np.int32), np.frombuffer(s.as_py(), np.float32), y.as_py()) for i, s, y in zip(*got.columns, strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", text_col: str = "text", max_rows: int = MAX_ROWS) -> Machine:
-    """Fits on at most max_rows labelled rows, see training.sample. The sample's stated lengths are its texts' own."""
-    rows = sample(docs, labels, label, usable, text_col=text_col, max_rows=max_rows)
-    return fit(_featured(rows.select("text", "y", F.length("text").cast("long"))))
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", text_col: str = "text", stated_col: str | None = "n_chars", max_rows: int = MAX_ROWS) -> Machine:
+    """Fits on at most max_rows labelled rows, see training.sample."""
+    return fit(_featured(sample(docs, labels, label, usable, text_col=text_col, max_rows=max_rows, stated_col=stated_col)))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", stated_col: str | None = "n_chars", threshold: float = 0.3) -> DataFrame:
@@ -158,5 +157,5 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", stated_col:
             out = [m.raw(*m.inputs(*features(t, s.as_py() if s is not None else None, buckets))) for t, s in zip(texts(column), stated, strict=True)]
             yield extended(b, {"score": pa.array(sigmoid(np.array(out, np.float64)), pa.float64())})
 
-    out = docs.mapInArrow(run, with_fields(docs, [T.StructField("score", T.DoubleType())]))
+    out = docs.transform(mapped, run, with_fields(docs, [T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

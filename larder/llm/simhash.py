@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import checkpoint, extended, texts, with_fields, without
+from larder.llm.common import checkpoint, extended, mapped, texts, with_fields, without
 from larder.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = np.array([fingerprint(t) for t in texts(batch.column(batch.schema.names.index(text_col)))], np.uint64)
             yield extended(batch, {"simhash": pa.array(out.view(np.int64))})
 
-    return docs.mapInArrow(run, with_fields(docs, [T.StructField("simhash", T.LongType())]))
+    return docs.transform(mapped, run, with_fields(docs, [T.StructField("simhash", T.LongType())]))
 
 
 def rest_of(fps: np.ndarray, block: int) -> np.ndarray:
@@ -185,8 +185,8 @@ def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) between distinct fingerprints (one long column): each pair within RADIUS bits is joined, by its own
     link or by a chain of links, and each link joins two that steps within RADIUS lead from one to the other."""
-    keyed = fps.mapInArrow(emitted, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long").distinct()
+    keyed = fps.transform(mapped, emitted, "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").transform(mapped, met, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

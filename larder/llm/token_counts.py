@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.bpe import read_spec
-from larder.llm.common import extended, texts, with_fields, without
+from larder.llm.common import extended, mapped, texts, with_fields, without
 
 #: Entries of the broadcast table, of a task's summary on its way there, and of a worker's cache.
 FREQUENT, SUMMARY, CACHE = 65_536, 4_096, 400_000
@@ -95,7 +95,7 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text", keep: int = FREQUEN
         top = [(p, n) for p, n in seen.most_common(SUMMARY) if len(p) <= CACHED_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    summed = docs.select(text_col).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    summed = docs.select(text_col).transform(mapped, run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r[0] for r in summed.orderBy(F.desc("n"), "piece").limit(keep).collect()]
 
 
@@ -122,5 +122,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
             column = batch.column(batch.schema.names.index(text_col))
             yield extended(batch, {"n_tokens": pa.array([counts.total(t, hot) for t in texts(column)], pa.int64())})
 
-    out = docs.mapInArrow(run, with_fields(docs, [new]))
+    out = docs.transform(mapped, run, with_fields(docs, [new]))
     return out.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larder.llm.common import checkpoint
+from larder.llm.common import checkpoint, mapped
 
 #: Vectors of a shard, queries of a block, pairs of a shard and a block that one task gets, non-essential terms probed between two looks at what is competitive.
 SHARD, BLOCK, CELL, STEP = 4_096, 256, 16, 8
@@ -53,7 +53,7 @@ def _packed(rows: DataFrame, size: int, n: int) -> DataFrame:
         if ids:
             yield block(ids, vectors)
 
-    return checkpoint(rows.repartition(max(1, -(-n // size))).mapInArrow(run, "ids binary, m binary"))
+    return checkpoint(rows.repartition(max(1, -(-n // size))).transform(mapped, run, "ids binary, m binary"))
 
 
 class Best:
@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             flat = [(int(i), x, s) for i, xs, ss in zip(one.ids, one.found, one.scores, strict=True) for x, s in zip(xs, ss, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    kept = shards.join(blocks, ["row", "column"]).select("ids", "m", "q_ids", "q_m").mapInArrow(run, "query_id long, vec_id long, score long")
+    kept = shards.join(blocks, ["row", "column"]).select("ids", "m", "q_ids", "q_m").transform(mapped, run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import extended, texts, with_fields, without
+from larder.llm.common import extended, mapped, texts, with_fields, without
 from larder.llm.training import MAX_ROWS, sample, sigmoid, words
 
 #: Insults that are voters whatever the labels say.
@@ -81,7 +81,7 @@ def propose(rows: DataFrame) -> list[str]:
     a, c = F.col("toxic"), F.col("clean")
     share = (a + c) / F.lit(n1 + n0)
     part = lambda k, n: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0) + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0)
-    sums = rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = rows.transform(mapped, run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     tried = sums.where(a >= 2)
     clear = tried.where((a >= PRECISION * (a + c)) & (a + c < n1 + n0)).withColumn("g", 2 * (part(a, F.lit(n1)) + part(c, F.lit(n0))))
     n = max(tried.count(), 1)
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             made = [voters.count(t) for t in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([np.minimum(c, 65_535).astype("<u2").tobytes() for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), b.column(1)], names=["counts", "n", "y"])
 
-    got = rows.select("text", "y").mapInArrow(run, "counts binary, n long, y int").orderBy("y", "n", F.xxhash64("counts")).toArrow()
+    got = rows.select("text", "y").transform(mapped, run, "counts binary, n long, y int").orderBy("y", "n", F.xxhash64("counts")).toArrow()
     counts = np.empty((got.num_rows, len(names)), "<u2")
     for i, x in enumerate(got.column(0)):
         counts[i] = np.frombuffer(x.as_py(), "<u2")
@@ -230,5 +230,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             out = [m.score(np.array([c for c, _ in made[k : k + 256]]), np.array([n for _, n in made[k : k + 256]], float)) for k in range(0, len(made), 256)]
             yield extended(b, {"score": pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())})
 
-    out = docs.mapInArrow(run, with_fields(docs, [T.StructField("score", T.DoubleType())]))
+    out = docs.transform(mapped, run, with_fields(docs, [T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -83,3 +83,23 @@ def test_awkward_stages(spark, docs, awkward, none, tmp_path):
             stage(spark, now, str(tmp_path)).write.parquet(path)
             now = spark.read.parquet(path)
         assert (now.count() == 0) == (start is none)
+
+
+def test_workers_need_no_path(tmp_path):
+    """A driver elsewhere, whose workers can't see this folder, sends them the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(P.__file__).parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", e.queries()["op9_token_counts"](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200" in out.stdout, out.stderr[-2000:]
