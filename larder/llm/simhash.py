@@ -113,7 +113,7 @@ def near_in(fps: np.ndarray, spent: np.ndarray, low: int, high: int) -> tuple[np
                 spot = ((fps[some] & hole)[:, None] ^ masks[s][None, :]).ravel()
                 owner = np.repeat(some, len(masks[s]))
                 if slices > 1:
-                    here = spot >> np.uint64(low) % np.uint64(slices) == turn
+                    here = (spot >> np.uint64(low)) % np.uint64(slices) == turn
                     spot, owner = spot[here], owner[here]
                 spots.append(spot)
                 owners.append(owner)

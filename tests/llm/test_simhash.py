@@ -78,6 +78,26 @@ def test_links_equal_all_pairs(monkeypatch, seed, pairs, variants):
     assert (labels(len(f), np.searchsorted(f, a), np.searchsorted(f, b)) == by_pairs(f)).all()
 
 
+@pytest.mark.parametrize("block", range(3))
+def test_sliced_run_links_what_meets_only_in_the_block(monkeypatch, block):
+    """Pairs three and four bits apart inside the block left out, all else far apart, in a run that takes several slices."""
+    monkeypatch.setattr(S, "VARIANTS", 500)
+    low, high = S.BLOCKS[block]
+    rng = random.Random(block)
+    pairs = []
+    while len(pairs) < 12:
+        a = rng.getrandbits(high - low)
+        b = a
+        for p in rng.sample(range(high - low), 3 + len(pairs) % 2):
+            b ^= 1 << p
+        if all((x ^ y).bit_count() > S.RADIUS for pair in pairs for x in pair for y in (a, b)):
+            pairs.append((a, b))
+    f = np.array([x << low for pair in pairs for x in pair], np.uint64)
+    assert len(f) * 200 >= 2 * S.VARIANTS
+    a, b = S.near_in(f, np.zeros(len(f), np.int64), low, high)
+    assert {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)} == {frozenset((x << low, y << low)) for x, y in pairs}
+
+
 def test_components_of_documents(spark, docs, awkward, none):
     got = S.near_duplicates(docs.withColumns({"simhash": F.lit(1), "component_id": F.lit(2)})).collect()
     assert len(got) == len(awkward)
