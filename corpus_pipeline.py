@@ -1,4 +1,4 @@
-"""A corpus pipeline: toxicity, near duplicates, secrets, the mix of sources, tokens.
+"""A corpus pipeline: toxicity, near duplicates, secrets, near copies, the mix of sources, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written
 as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
@@ -7,13 +7,14 @@ as Parquet and read again as the next one's docs. All stages but the last return
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, secrets, simhash, toxicity, training
-from larder.llm.common import ensure_checkpoint_dir
+from larder.llm import bpe, mixing, near_copies, secrets, simhash, toxicity, training
+from larder.llm.common import checkpoint, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
+def kept(docs: DataFrame, survivors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that survivors names by the hash of the whole row, equal rows once. Texts travel once."""
+    named = docs.select(*COLUMNS).withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    rows = named.groupBy("_row").agg(F.any_value(F.struct(*COLUMNS)).alias("_all"))
+    return rows.join(checkpoint(survivors(named)), "_row", "left_semi").select(*[F.col(f"_all.{c}") for c in COLUMNS])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Documents without an id are a group each."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
@@ -38,6 +46,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.when(n == F.col("_before"), F.col("n_chars")).otherwise(n)).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those whose five-word shingles have a Jaccard similarity of 0.8 or more to one that stays or to
+    another that went. Fingerprints four bits apart find few of these. Secrets are masked before, so texts that differ in them alone are copies."""
+    return kept(docs, near_copies.survivors)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once or twice."""
     return mixing.apply(mixing.mix(docs), docs.select(*COLUMNS))
@@ -52,6 +66,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("secrets", mask_secrets),
+    ("near_copies", drop_near_copies),
     ("mixing", mix_sources),
     ("encoding", encode),
 ]
