@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts; the stated length follows the text where it changes."""
-    masked = secrets.redact(docs.select(*COLUMNS, F.length("text").alias("_before")))
+    masked = secrets.redact(docs.select(*COLUMNS, F.length("text").alias("_before")), rules=secrets.MASKED)
     n = F.length("text").cast("long")
     return masked.withColumn("n_chars", F.when(n == F.col("_before"), F.col("n_chars")).otherwise(n)).select(*COLUMNS)
 

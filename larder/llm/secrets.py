@@ -40,6 +40,10 @@ BASE = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 RULES = (*BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"))
+#: What a corpus has masked: as RULES, but the whole key goes with its header, up to the END line, or where none comes before other
+#: dashes over the base64 that follows.
+_HEAD, _GAP = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"(?:\s|\\[nrt])*+"
+MASKED = (*BASE, Rule("pem", 2, _HEAD + r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:" + _GAP + r"(?:Proc-Type|DEK-Info): ?[^\n\\]*+)*+(?:" + _GAP + r"[A-Za-z0-9+/]{20,}+={0,2}+)*+(?:(?<=[A-Za-z0-9+/])(?:\s|\\[nrt])++(?:[A-Za-z0-9+/]{4}){0,4}+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=))?+)"))
 MASK = "[secret]"
 
 
@@ -117,9 +121,9 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text)))).otherwise(text)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with secrets masked in their texts (null stays null); other columns as they were."""
-    findings = checkpoint(scan(docs, text_col=text_col)[0])
+def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with what the rules find masked in their texts (null stays null), with MASKED PEM keys whole; other columns as they were."""
+    findings = checkpoint(scan(docs, text_col=text_col, rules=rules)[0])
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text_col}`"].alias("_text"))
     joined = findings_by_path(whole, findings, "_text")
     return joined.select(*[(masked(F.col("_text"), F.col("spans")) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
