@@ -33,10 +33,8 @@ def kept(docs: DataFrame, survivors: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Documents without an id are a group each."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates by op4's fingerprints: the one with the smallest id, rows without an id last."""
+    return kept(docs, simhash.survivors)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

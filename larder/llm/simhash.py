@@ -204,3 +204,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     lowest = checkpoint(placed.groupBy("_c").agg(F.min("_first").alias("component_id")))
     named = checkpoint(placed.join(lowest, "_c").select("simhash", "component_id"))
     return slim.join(named, "simhash").select(F.col("_key").alias(key), "simhash", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """(_row) of the rows to keep of docs (doc_id, _row, text): of each component the first by doc_id (null last) and _row."""
+    first = fingerprints(docs.select("doc_id", "_row", "text")).groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_row")).alias("at"))
+    first = checkpoint(first)
+    linked_ = components(links(first.select("simhash")))
+    placed = first.join(linked_, first["simhash"] == linked_["node"], "left").select("at", F.coalesce("component", "simhash").alias("_c"))
+    return placed.groupBy("_c").agg(F.min("at").alias("at")).select("at._row")

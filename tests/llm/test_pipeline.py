@@ -85,6 +85,15 @@ def test_awkward_stages(spark, docs, awkward, none, tmp_path):
         assert (now.count() == 0) == (start is none)
 
 
+def test_near_duplicates_leave_one_row_a_group(spark):
+    """Of rows repeated under one id and of copies without an id one stays, as of any others."""
+    a, b, c = ("the quiet river runs past a stone", "a lamp in the blue hall was lit", "nobody walks along that road today")
+    rows = [(7, a), (7, a), (7, a), (9, a), (None, a), (None, b), (None, b), (None, c), (3, c), (3, c + ""), (5, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.drop_near_duplicates(spark, docs, None).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted([("7", a), ("None", b), ("3", c), ("5", "None")])
+
+
 def test_workers_need_no_path(tmp_path):
     """A driver elsewhere, whose workers can't see this folder, sends them the package."""
     import os
