@@ -1,6 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Segments of a file are its lines that speak of licences and, for licence files, the whole text. A segment's
+Segments of a file are its lines that speak of licences and, for licence files, the whole text; where no line is a
+template word for word, also stretches of words that run over lines or are part of one. A segment's
 terms are weighed by how few templates hold them; the closest template above a threshold names
 the file's own licence. A file without one takes that of the nearest directory above it whose licence file
 has one. Directories, not files, are resolved against each other, so the joins are as small as the tree.
@@ -49,6 +50,23 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited"),
 )
+_GNU = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
+)
+#: Notices that are wrapped over lines or stand inside longer ones are compared by stretches of words, with these besides TEMPLATES.
+NOTICES = (
+    ("GPL-3.0", _GNU.format("", 3)), ("GPL-2.0", _GNU.format("", 2)), ("LGPL-2.1", _GNU.format("Lesser ", "2.1")), ("LGPL-3.0", _GNU.format("Lesser ", 3)), ("AGPL-3.0", _GNU.format("Affero ", 3)),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")),
+    ("BSD-2-Clause", _BSD.format("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+)
+#: Stretches are laid so that one of these words falls on the same word of the notice; the least cosine that counts there.
+ANCHORS = ("licensed", "license", "licence", "copyright", "spdx", "permission", "redistribution", "unencumbered", "dedicated")
+LEAST_STRETCH = 0.75
 #: A line speaks of licences if, in lower case, it holds one of these.
 TRIGGERS = ("licen", "copyright", "spdx", "public domain", "all rights reserved")
 #: Terms, in lower case; the least cosine that counts; names of licence files.
@@ -75,6 +93,8 @@ class Matcher:
     def __init__(self, templates, least: float):
         self.idf, self.other, self.templates = _vectors(templates)
         self.least = least
+        self.stretches = _vectors([*templates, *NOTICES])
+        self.words = [_terms(text.translate(ASCII)) for _, text in [*templates, *NOTICES]]
 
     def best(self, segment: str) -> tuple[float, int]:
         """(cosine to the closest template, minus its number), ties to the first."""
@@ -90,7 +110,25 @@ class Matcher:
         low = text.translate(ASCII) if not text.isascii() else text.lower()
         segments = [x for x in low.split("\n") if any(t in x for t in TRIGGERS)] if any(t in low for t in TRIGGERS) else []
         score, number = max(map(self.best, [*dict.fromkeys(segments), *[low] * whole]), default=(0.0, 0))
-        return (self.templates[-number][0], score) if score >= self.least else (None, 0.0)
+        name, score = (self.templates[-number][0], score) if score >= self.least else (None, 0.0)
+        if score < 1 and any(a in low for a in ANCHORS):
+            wider, other = self.stretch(_terms(low))
+            if wider >= LEAST_STRETCH and wider > score:
+                return other, wider
+        return name, score
+
+    def stretch(self, words: list[str]) -> tuple[float, str | None]:
+        """(cosine, licence) of the closest stretch of words as long as a notice, whatever lines it runs over."""
+        idf, other, notices = self.stretches
+        at = {a: [i for i, w in enumerate(words) if w == a] for a in ANCHORS}
+        best, found = 0.0, None
+        for (name, v), notice in zip(notices, self.words, strict=True):
+            for start in {max(i - q, 0) for q, w in enumerate(notice) if w in at for i in at[w]}:
+                bag = Counter(words[start : start + len(notice)])
+                dot = sum(n * idf[t] * v[t] for t, n in bag.items() if t in v)
+                if dot and (cosine := round(dot / sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()) ** 0.5, 6)) > best:
+                    best, found = cosine, name
+        return best, found
 
 
 def directory(path: Column) -> Column:

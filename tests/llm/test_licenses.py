@@ -61,6 +61,22 @@ def test_headers(spark):
     assert m.of("LICENSED UNDER CC BY-NC 4.0", False)[0] == "CC-BY-NC-4.0"
 
 
+def test_wrapped_and_embedded_notices():
+    m = L.Matcher(L.TEMPLATES, L.LEAST)
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\ncode"
+    for kind, version, name in (("", "3", "GPL-3.0"), ("", "2", "GPL-2.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")):
+        assert m.of(gnu.format(kind, version), False)[0] == name
+    mit = "// Permission is hereby granted, free of charge, to any person obtaining a copy\n// of this software and associated documentation files (the \"Software\"), to deal\n// in the Software without restriction, including\ncode"
+    assert m.of(mit, False)[0] == "MIT"
+    for name, text in L.NOTICES:
+        words = text.split()
+        wrapped = "\n".join(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+        assert m.of(f"/*\n{wrapped}\n */\ncode", False)[0] == name
+    assert m.of("stone river " * 80 + "Released under the MIT License. " + "lamp hall " * 80, False)[0] == "MIT"
+    for text in ("a licence to copy the river is dedicated to stones " * 5, "all rights reserved by permission of the licensed fisher", "copyright"):
+        assert m.of(text, False) == (None, 0.0)
+
+
 def test_cosine_by_dense_vectors():
     rng = random.Random(1)
     idf, other, templates = L._vectors(L.TEMPLATES)
