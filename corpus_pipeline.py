@@ -1,4 +1,4 @@
-"""A corpus pipeline: toxicity, near duplicates, secrets, near copies, the mix of sources, tokens.
+"""A corpus pipeline: toxicity, near duplicates, secrets, the mix of sources, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written
 as Parquet and read again as the next one's docs. All stages but the last return the columns of documents.
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, mixing, near_copies, secrets, simhash, toxicity, training
+from larder.llm import bpe, mixing, secrets, simhash, toxicity, training
 from larder.llm.common import checkpoint, ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,7 +33,8 @@ def kept(docs: DataFrame, survivors: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates by op4's fingerprints: the one with the smallest id, rows without an id last."""
+    """One row of each group of near duplicates (op4's fingerprints within four bits, or five-word shingles with a similarity of 0.8 or
+    more): the one with the smallest id, rows without an id last."""
     return kept(docs, simhash.survivors)
 
 
@@ -44,12 +45,6 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.when(n == F.col("_before"), F.col("n_chars")).otherwise(n)).select(*COLUMNS)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those whose five-word shingles have a Jaccard similarity of 0.8 or more to one that stays or to
-    another that went. Fingerprints four bits apart find few of these. Secrets are masked before, so texts that differ in them alone are copies."""
-    return kept(docs, near_copies.survivors)
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once or twice."""
     return mixing.apply(mixing.mix(docs), docs.select(*COLUMNS))
@@ -64,7 +59,6 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("secrets", mask_secrets),
-    ("near_copies", drop_near_copies),
     ("mixing", mix_sources),
     ("encoding", encode),
 ]

@@ -7,13 +7,14 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from larder.operators.lineage import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "texts", "with_fields", "without"]
+__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "texts", "whole_runs", "with_fields", "without"]
 
 #: Rows and bytes of an Arrow batch that a Python operator hands back to the JVM.
 OUT_ROWS, OUT_BYTES = 2_000, 8 << 20
@@ -71,3 +72,25 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
 def extended(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     """batch with more columns."""
     return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted rows as arrays, cut between runs that agree in the first n_keys columns; the last run of a batch is held until it ends."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(now[0]):
+            continue
+        if held and all(held[0][i][0] == now[i][-1] for i in range(n_keys)):
+            held.append(now)
+            continue
+        now = tuple(np.concatenate(x) for x in zip(*held, now, strict=True))
+        other = np.zeros(len(now[0]), bool)
+        for i in range(n_keys):
+            other |= now[i] != now[i][-1]
+        cut = len(other) - int(np.argmax(other[::-1])) if other.any() else 0
+        if cut:
+            yield tuple(x[:cut] for x in now)
+        held = [tuple(x[cut:] for x in now)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))

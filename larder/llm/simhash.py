@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import checkpoint, extended, mapped, texts, with_fields, without
+from larder.llm import near_copies
+from larder.llm.common import checkpoint, extended, mapped, sliced, texts, with_fields, without
 from larder.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -206,10 +207,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     return slim.join(named, "simhash").select(F.col("_key").alias(key), "simhash", "component_id")
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, _row, text) to (doc_id, _row, simhash, sig, keys)."""
+    for batch in batches:
+        for i, j in sliced((n, len(t)) for n, t in enumerate(texts(batch.column(2)))):
+            own = list(texts(batch.column(2).slice(i, j - i)))
+            made = [near_copies.sketch(near_copies.shingles(t)) for t in own]
+            prints = np.array([fingerprint(t) for t in own], np.uint64).view(np.int64)
+            columns = [*(batch.column(k).slice(i, j - i) for k in (0, 1)), pa.array(prints), pa.array([s for _, s in made], pa.binary()), pa.array([k for k, _ in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_row", "simhash", "sig", "keys"])
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """(_row) of the rows to keep of docs (doc_id, _row, text): of each component the first by doc_id (null last) and _row."""
-    first = fingerprints(docs.select("doc_id", "_row", "text")).groupBy("simhash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_row")).alias("at"))
-    first = checkpoint(first)
-    linked_ = components(links(first.select("simhash")))
-    placed = first.join(linked_, first["simhash"] == linked_["node"], "left").select("at", F.coalesce("component", "simhash").alias("_c"))
-    return placed.groupBy("_c").agg(F.min("at").alias("at")).select("at._row")
+    """(_row) of the rows to keep of docs (doc_id, _row, text): of each component the first by doc_id (null last) and _row.
+
+    Linked are fingerprints that differ in at most RADIUS bits and, since those find few copies with a similarity of 0.8, texts whose
+    five-word shingles have that or more (near_copies). Texts with one fingerprint are one node, which has the first one's shingles.
+    """
+    sketched = mapped(docs.select("doc_id", "_row", "text"), _sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _row string, simhash long, sig binary, keys array<long>")
+    order = (F.col("doc_id").isNull().alias("void"), "doc_id", "_row")
+    first = checkpoint(sketched.groupBy("simhash").agg(F.min_by(F.struct(*order, "sig", "keys"), F.struct(*order)).alias("at")).select("simhash", "at.*"))
+    nodes = first.select(F.col("simhash").alias("node"), "_row", "sig", "keys")
+    linked_ = components(links(first.select("simhash")).unionByName(near_copies.links(nodes, docs)))
+    placed = first.select("simhash", F.struct("void", "doc_id", "_row").alias("at")).join(linked_, first["simhash"] == linked_["node"], "left")
+    return placed.groupBy(F.coalesce("component", "simhash")).agg(F.min("at").alias("at")).select("at._row")

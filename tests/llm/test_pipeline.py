@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from larder.llm import mixing, queries, secrets, simhash, toxicity, training
+from larder.llm import mixing, near_copies, queries, secrets, simhash, toxicity, training
 
 ORACLES = queries.ORACLES
 HARD = r"""AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}"""
@@ -46,6 +46,8 @@ def test_stages(spark, tmp_path):
             rows = before.collect()
             f = np.array([simhash.fingerprint(r["text"]) for r in rows], np.uint64)
             near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+            sets = [set(near_copies.shingles(r["text"] or "").tolist()) for r in rows]
+            near |= np.array([[bool(a) and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
             lab = np.arange(len(f))
             while (new := np.array([lab[n].min() for n in near])).tolist() != lab.tolist():
                 lab = new
