@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from larder.functions.rules import water_mark
 from larder.operators.index import PK, totals
+from larder.operators.lineage import checkpoint
 from larder.operators.ranges import numbered
 
 #: An object looks an hour older for each doubling above 64 KiB; candidates come in batches of 512.
 SIZE_WEIGHT_NS, SIZE_UNIT, BATCH = 3_600_000_000_000, 64 << 10, 512
-
+#: Groups that a group of batches is divided into.
+FAN = 1_024
 
 #: Fixed value: the reciprocal of the natural logarithm of 2. Terms of the series below.
 RECIPROCAL, TERMS = 1.4426950408889634, 18
@@ -39,19 +41,38 @@ def victims(objects: DataFrame, max_bytes: int, high: float, low: float, weight_
     """The rows that a sweep evicts, with `score` and `order` (from 1): nothing up to the high-water mark, else batch after batch
     of the coldest, each by score, until usage is at the low-water mark. Size weighs only within a batch.
 
-    Two levels of running sums: a batch's place comes from the batches' sums, an object's from its own batch. No window holds more
-    than a batch of rows but those over batches.
+    Objects are numbered from the coldest. The batch in which enough is freed is found by sums over groups of batches, of which only the
+    group that it lies in is divided again: the driver gets at most FAN sums at a time, and what follows is a filter on the numbers.
     """
-    used = totals(objects).select("bytes", water_mark(F.lit(max_bytes), F.lit(high)).alias("high"), water_mark(F.lit(max_bytes), F.lit(low)).alias("low"))
-    must = F.broadcast(used.where("bytes > high").select((F.col("bytes") - F.col("low")).alias("must")))
-    rows = with_score(numbered(objects, "last_access_ns", *PK).withColumn("batch", F.floor(F.col("n") / batch)), weight_ns, unit)
-    sums = rows.groupBy("batch").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_count"))
-    so_far = W.orderBy("batch").rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = sums.select("batch", (F.sum("_bytes").over(so_far) - F.col("_bytes")).alias("_freed"), (F.sum("_count").over(so_far) - F.col("_count")).alias("_rank"))
-    needed = F.broadcast(before.crossJoin(must).where("_freed < must"))
+    used = totals(objects).select("bytes", water_mark(F.lit(max_bytes), F.lit(high)).alias("high"), water_mark(F.lit(max_bytes), F.lit(low)).alias("low")).first()
+    must = used["bytes"] - used["low"] if used["bytes"] > used["high"] else 0
+    rows = with_score(numbered(objects, "last_access_ns", *PK), weight_ns, unit)
+    if must <= 0:
+        return rows.limit(0).select(*PK, "size", "last_access_ns", "score", F.col("n").alias("order"))
+    rows = checkpoint(rows)
+    start, freed = boundary(rows, must, batch)
     own = W.partitionBy("batch").orderBy("score", *PK).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = rows.join(needed, "batch").withColumns({"_own": F.sum("size").over(own) - F.col("size"), "_i": F.row_number().over(own)})
-    return out.where(F.col("_freed") + F.col("_own") < F.col("must")).select(*PK, "size", "last_access_ns", "score", (F.col("_rank") + F.col("_i")).alias("order"))
+    out = rows.where(F.col("n") < start + batch).withColumn("batch", F.floor(F.col("n") / batch))
+    out = out.withColumns({"_own": F.sum("size").over(own) - F.col("size"), "_i": F.row_number().over(own)})
+    return out.where((F.col("n") < start) | (freed + F.col("_own") < must)).select(*PK, "size", "last_access_ns", "score", (F.col("batch") * batch + F.col("_i")).alias("order"))
+
+
+def boundary(rows: DataFrame, must: int, batch: int) -> tuple[int, int]:
+    """(first number of the batch in which the sizes of rows (n, size), by number, reach must; the sum before it). The sum of all reaches it."""
+    count, width = rows.agg(F.max("n")).first()[0] + 1, batch
+    while width * FAN < count:
+        width *= FAN
+    start = freed = 0
+    while True:
+        inside = rows.where((F.col("n") >= start) & (F.col("n") < start + width * FAN))
+        for r in inside.groupBy(F.floor(F.col("n") / width).alias("g")).agg(F.sum("size").alias("bytes")).orderBy("g").collect():
+            start = r["g"] * width
+            if freed + r["bytes"] >= must:
+                break
+            freed += r["bytes"]
+        if width == batch:
+            return start, freed
+        width //= FAN
 
 
 def usage(objects: DataFrame, max_bytes: int, high: float, low: float) -> DataFrame:

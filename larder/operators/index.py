@@ -43,6 +43,12 @@ def remove(objects: DataFrame, gone: DataFrame) -> DataFrame:
     return objects.join(gone.select(*PK), PK, "left_anti")
 
 
+def stat(objects: DataFrame, lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of the objects that lookups (ns, key, at_ns) name, and the accesses (ns, key, at_ns) that come of finding them."""
+    found = lookups.select(*PK, "at_ns").join(objects, PK)
+    return found, found.select(*PK, "at_ns")
+
+
 def touched(accesses: DataFrame) -> DataFrame:
     """One touch per object from a batch of accesses (ns, key, at_ns): the latest."""
     return accesses.groupBy(*PK).agg(F.max("at_ns").alias("at_ns"))

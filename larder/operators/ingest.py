@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.hashing import sha256_hex, valid_key
 from larder.functions.rules import admission, content_addressed, valid_namespace
+from larder.operators.lineage import checkpoint
 
 #: A number with a unit is a claim; a line with one of these words is none; a claim cites a file under results/.
 UNIT = r"[0-9][0-9,.]*\s*(req/s|reqs/s|requests/s|ops/s|MiB/s|GiB/s|KiB/s|MB/s|GB/s|IOPS|ms\b|µs\b|seconds\b|% (faster|lower|reduction|coverage|of statements)|x faster)"
@@ -15,8 +16,8 @@ EXEMPT = r"(?i)target|aspiration|goal range|not yet measured|e\.g\.|for example|
 CITATION = r"(?:\.\./)*(?:bench/)?results/[A-Za-z0-9._/-]+"
 
 
-def put(writes: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
-    """Outcome of each write (seq, ns, key, content, declared): invalid_key, a reason of refusal, already_stored or stored.
+def judged(writes: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
+    """writes (seq, ns, key, content, declared) with `written` and `outcome`: invalid_key, a reason of refusal, already_stored or stored.
 
     An object of the content namespace is stored once: later writes of the same key, in the batch or before it (stored: ns, key), change nothing.
     """
@@ -26,9 +27,28 @@ def put(writes: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
     cas = (F.col("reason") == "ok") & content_addressed(F.col("ns"))
     first = rows.where(cas).groupBy("ns", "key").agg(F.min("seq").alias("first_seq"))
     have = stored.select("ns", "key").distinct().withColumn("have", F.lit(True))
-    rows = rows.join(first, ["ns", "key"], "left").join(have, ["ns", "key"], "left")
+    known = checkpoint(first.join(have, ["ns", "key"], "full_outer"))  # so that the join below is of two shuffles, which a common key doesn't hold up
+    rows = rows.join(known, ["ns", "key"], "left")
     again = cas & (F.col("have").isNotNull() | (F.col("seq") > F.col("first_seq")))
-    return rows.select("seq", "ns", "key", "written", F.when(again, "already_stored").when(F.col("reason") == "ok", "stored").otherwise(F.col("reason")).alias("outcome"))
+    outcome = F.when(again, "already_stored").when(F.col("reason") == "ok", "stored").otherwise(F.col("reason"))
+    return rows.select("seq", "ns", "key", "content", "written", outcome.alias("outcome"))
+
+
+def put(writes: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
+    """The outcome of each write, see judged; contents don't travel."""
+    return judged(writes, stored, limit).drop("content")
+
+
+def store(writes: DataFrame, stored: DataFrame, limit: int, folder: str) -> DataFrame:
+    """Writes what put stores to a table under folder, by namespace and the key's first digits, and returns the outcomes.
+
+    Of several writes of one key outside the content namespace the last is kept. The commit publishes a batch's files together.
+    """
+    rows = checkpoint(judged(writes, stored, limit))
+    last = rows.where("outcome = 'stored'").groupBy("ns", "key").agg(F.max_by(F.struct("content", "written"), "seq").alias("w"))
+    out = last.select("ns", F.substring("key", 1, 2).alias("shard"), "key", "w.content", F.col("w.written").alias("size"))
+    out.write.mode("append").partitionBy("ns", "shard").parquet(folder)
+    return rows.drop("content")
 
 
 def verified(blobs: DataFrame) -> DataFrame:

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a temporary one only where it is unset (tests, local runs)."""
+    """Uses the session's spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder; a cluster, whose hosts don't share one, an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a shared folder on {sc.master}")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larder-checkpoints-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read from it from now on."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder, which all of a cluster see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

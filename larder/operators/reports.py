@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from larder.functions import rules
 from larder.functions.text import rate
+from larder.operators import requests
 
 #: The counters of each subsystem.
 COUNTERS = {
-    "store": ("bytes_in", "bytes_out", "puts_ok", "puts_rejected", "puts_already_stored", "verify_failures"),
+    "store": ("puts_ok", "puts_rejected", "puts_already_stored", "gets", "get_misses", "deletes", "bytes_in", "bytes_out", "objects_stored", "bytes_stored", "verify_failures"),
     "coordinator": ("local_hits", "peer_hits", "misses", "read_fallbacks", "replica_writes", "replica_failures", "insufficient_acks", "forwarded_puts", "coordinated_puts", "repair_declined"),
-    "index": ("touches_written", "touches_dropped"),
-    "evictor": ("sweeps", "evicted", "bytes_reclaimed", "failures"),
-    "repair": ("queue_depth", "queue_capacity", "repaired", "bytes_repaired", "failed", "objects_audited", "dropped_full_queue"),
+    "index": ("inserts", "deletes", "touches_queued", "touch_flushes", "touches_written", "touches_dropped"),
+    "evictor": ("sweeps", "evicted", "bytes_reclaimed", "failures", "overshoot"),
+    "repair": ("audit_runs", "objects_audited", "enqueued", "dropped_full_queue", "repaired", "already_present", "failed", "bytes_repaired", "not_ours", "declined_over_quota", "queue_depth", "queue_capacity"),
+    "chaos": ("writes", "write_ok", "write_refused", "write_error", "reads", "read_hits", "read_misses", "read_errors", "reads_verified", "corrupted_reads", "bytes_written", "bytes_read", "conn_refused", "timeouts", "server_errors"),
 }
 #: Derived metrics by subsystem and counter; a label where one name has several series.
 METRICS = (
@@ -74,12 +76,24 @@ def chaos_report(traffic: DataFrame, correctness: DataFrame, convergence: DataFr
     return out.withColumn("verdict", verdict)
 
 
-def choose(requests: DataFrame, column: str, names: list[str]) -> DataFrame:
+#: What a bench report keeps of the middle run of each scenario.
+POINT = ("run", "operations", "errors", "misses", "bytes", "ops_per_sec", "ops_per_sec_min", "ops_per_sec_max", "mib_per_sec", "p50_ms", "p95_ms", "p99_ms", "p999_ms")
+
+
+def bench_report(runs: DataFrame, scenario: str, setup: dict[str, str | int | float | bool]) -> DataFrame:
+    """One nested row: the setup, and each scenario's middle run with the spread over its runs. runs: one row for each scenario and run."""
+    points = requests.median_run(runs, "run", scenario).join(runs.groupBy(scenario).agg(F.count("*").alias("runs")), scenario)
+    point = F.struct(F.col(scenario).alias("name"), "runs", *POINT)
+    said = F.struct(*[F.lit(v).alias(k) for k, v in setup.items()])
+    return points.agg(F.array_sort(F.collect_list(point)).alias("scenarios")).select(F.lit("benchmark").alias("kind"), said.alias("setup"), "scenarios")
+
+
+def choose(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
     """The rows of the named scenarios; raises if no name is known among the rows."""
-    rows = requests.where(F.col(column).isin(names))
-    if rows.limit(1).count() == 0:
+    chosen = rows.where(F.col(column).isin(names))
+    if chosen.limit(1).count() == 0:
         raise ValueError(f"no scenario matches {names}")
-    return rows
+    return chosen
 
 
 def hit_rate(counted: DataFrame) -> DataFrame:

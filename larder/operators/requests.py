@@ -75,10 +75,10 @@ def run_rates(requests: DataFrame, seconds: Column, *by: str) -> DataFrame:
     return sums.select(*by, "operations", "errors", "misses", "bytes", rate(F.col("operations"), F.col("_s")).alias("ops_per_sec"), (rate(F.col("bytes"), F.col("_s")) / (1 << 20)).alias("mib_per_sec"), rate(F.col("errors"), F.col("operations")).alias("error_rate"))
 
 
-def median_run(runs: DataFrame, run: str = "run") -> DataFrame:
-    """The whole run with the middle (of an even number, the upper middle) throughput, and the spread over all. One row per run comes in, so the window is small."""
-    order = W.orderBy("ops_per_sec", run)
-    every = W.partitionBy()
+def median_run(runs: DataFrame, run: str = "run", *by: str) -> DataFrame:
+    """The whole run with the middle (of an even number, the upper middle) throughput, and the spread over all, per group. One row per run comes in, so the window is small."""
+    order = W.partitionBy(*by).orderBy("ops_per_sec", run)
+    every = W.partitionBy(*by)
     rows = runs.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(every), "ops_per_sec_min": F.min("ops_per_sec").over(every), "ops_per_sec_max": F.max("ops_per_sec").over(every)})
     middle = rows.where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
     return middle.withColumn("relative_range", F.when(F.col("ops_per_sec") > 0, (F.col("ops_per_sec_max") - F.col("ops_per_sec_min")) / F.col("ops_per_sec")).otherwise(0.0))
@@ -98,20 +98,23 @@ def hop_counts(requests: DataFrame) -> DataFrame:
 
 
 def in_flight_peak(requests: DataFrame, *by: str) -> DataFrame:
-    """The highest number of requests being served at once (started at start_ns, for latency_ns; at one instant, ends come before starts), per group and
-    hour of start.
+    """The highest number of requests being served at once (started at start_ns, for latency_ns; at one instant, ends come before starts), per group.
 
-    Running sums are taken within an hour on top of what the hours before leave open, so no window holds more than one hour of a group.
+    Running sums are taken within a second, on top of what the seconds before leave open in their hour and the hours before that, so
+    no window holds more than one second's requests, one hour's seconds or a group's hours.
     """
-    hour = 3_600_000_000_000
+    hour, second = 3_600_000_000_000, 1_000_000_000
     begun = requests.select(*by, F.col("start_ns").alias("at"), F.lit(1).alias("d"))
     ended = requests.select(*by, (F.col("start_ns") + F.col("latency_ns")).alias("at"), F.lit(-1).alias("d"))
-    steps = begun.unionByName(ended).groupBy(*by, "at").agg(F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("starts")).withColumn("hour", F.expr(f"at div {hour}"))
-    left = steps.groupBy(*by, "hour").agg(F.sum("d").alias("net"))
-    so_far = W.partitionBy(*by).orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
-    open_ = left.select(*by, "hour", F.coalesce(F.sum("net").over(so_far), F.lit(0)).alias("open"))
-    run = W.partitionBy(*by, "hour").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    levels = steps.join(open_, [*by, "hour"]).withColumn("level", F.col("open") + F.sum("d").over(run))
+    steps = begun.unionByName(ended).groupBy(*by, "at").agg(F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("starts")).withColumns({"hour": F.expr(f"at div {hour}"), "second": F.expr(f"at div {second}")})
+    seconds = steps.groupBy(*by, "hour", "second").agg(F.sum("d").alias("net"))
+    hours = seconds.groupBy(*by, "hour").agg(F.sum("net").alias("net"))
+    before = lambda w: F.coalesce(F.sum("net").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    earlier = hours.select(*by, "hour", before(W.partitionBy(*by).orderBy("hour")).alias("earlier"))
+    within = seconds.select(*by, "hour", "second", before(W.partitionBy(*by, "hour").orderBy("second")).alias("within"))
+    open_ = within.join(earlier, [*by, "hour"]).select(*by, "second", (F.col("earlier") + F.col("within")).alias("open"))
+    run = W.partitionBy(*by, "second").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    levels = steps.join(open_, [*by, "second"]).withColumn("level", F.col("open") + F.sum("d").over(run))
     return levels.groupBy(*by).agg(F.max("level").cast("long").alias("peak"))
 
 

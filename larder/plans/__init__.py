@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("placing", "indexing", "serving", "checking", "reporting")
+MODULES: tuple[str, ...] = ("placing", "indexing", "serving", "checking", "reporting", "filing")
 
 
 def queries() -> dict:

@@ -10,7 +10,7 @@ from larder.functions import rules, text
 from larder.functions.hashing import sha256_hex, valid_key
 from larder.operators import ingest, ledger
 from larder.operators import requests as Q
-from larder.plans.base import RUN_SECONDS, SQL_PLACED, SQL_REQUESTS, holdings, node_state, requests, table
+from larder.plans.base import RUN_SECONDS, SQL_OBJECTS, SQL_PLACED, SQL_REQUESTS, holdings, node_state, objects, requests, table
 from larder.sources import files, generators
 
 LIMIT = 8_192
@@ -87,11 +87,11 @@ def final_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_verify_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Every stride-th key of the ledger in order, by a stride for 50, of which there may be more."""
+    """Every stride-th key of the index in order, by a stride for 5,000, of which there may be more."""
     from larder.operators.repair import subsample
 
-    keys = ledger.acknowledged(_ledger_writes(spark, sf)).select("key")
-    return subsample(keys, "key", 50, keys.count(), capped=False)
+    keys = objects(spark, sf).select("key")
+    return subsample(keys, "key", 5_000, keys.count(), capped=False)
 
 
 def chaos_traffic(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +218,7 @@ SELECT page_id, path, CASE WHEN regexp_full_match(q, '(?i:cas|ac)/[0-9a-f]{{64}}
     "ledger_verify": f"WITH {_L} SELECT l.key, l.digest, r.digest AS got_digest, l.size, r.size AS got_size FROM rd r JOIN led l ON r.key = l.key WHERE r.status = 200 AND r.error IS NULL AND (r.digest <> l.digest OR r.size <> l.size)",
     "refused_not_acked": f"WITH {_L} SELECT DISTINCT key FROM lw WHERE status = 503 AND key NOT IN (SELECT key FROM led)",
     "final_verify": f"WITH {_L}, k AS (SELECT CASE WHEN r.error IS NULL AND r.status = 404 THEN 'missing' WHEN r.key IS NULL OR r.error IS NOT NULL OR r.status <> 200 THEN 'unreadable' WHEN r.digest = l.digest THEN 'correct' ELSE 'corrupted' END AS k FROM led l LEFT JOIN rd r ON l.key = r.key) SELECT count(*) AS checked, count(*) FILTER (k = 'correct') AS correct, count(*) FILTER (k = 'corrupted') AS corrupted, count(*) FILTER (k = 'missing') AS missing, count(*) FILTER (k = 'unreadable') AS unreadable FROM k",
-    "final_verify_sample": f"WITH {_L}, n AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c FROM led) SELECT key FROM n WHERE c <= 50 OR n % (c // 50) = 0",
+    "final_verify_sample": f"WITH {SQL_OBJECTS}, n AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c FROM objects) SELECT key FROM n WHERE c <= 5000 OR n % (c // 5000) = 0",
     "chaos_traffic": f"""WITH {SQL_REQUESTS}, t AS (SELECT count(*) FILTER (op = 'put') AS writes, count(*) FILTER (op = 'put' AND error IS NULL) AS writes_ok, count(*) FILTER (op = 'put' AND status = 503) AS writes_refused, count(*) FILTER (op = 'put' AND error IS NOT NULL AND status <> 503) AS write_errors,
  count(*) FILTER (op <> 'put') AS reads, count(*) FILTER (op <> 'put' AND error IS NULL AND status = 200) AS read_hits, count(*) FILTER (op <> 'put' AND error IS NULL AND status = 404) AS read_misses, count(*) FILTER (op <> 'put' AND error IS NOT NULL) AS read_errors, count(*) FILTER (error IS NOT NULL AND status >= 500) AS server_errors FROM requests)
 SELECT *, (writes + reads) / CAST({RUN_SECONDS} AS DOUBLE) AS ops_per_second, (write_errors + read_errors) / CAST(writes + reads AS DOUBLE) AS error_rate FROM t""",

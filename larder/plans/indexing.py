@@ -80,22 +80,22 @@ def eviction_scores(spark: SparkSession, sf: str) -> DataFrame:
     return E.with_score(touched(spark, sf)).select("ns", "key", "score")
 
 
-def _quota(spark: SparkSession, sf: str) -> int:
+def quota(spark: SparkSession, sf: str) -> int:
     return BYTES_EACH * objects(spark, sf).count()
 
 
 def eviction_victims(spark: SparkSession, sf: str) -> DataFrame:
-    return E.victims(touched(spark, sf), _quota(spark, sf), HIGH, LOW)
+    return E.victims(touched(spark, sf), quota(spark, sf), HIGH, LOW)
 
 
 def eviction_summary(spark: SparkSession, sf: str) -> DataFrame:
-    gone = E.victims(touched(spark, sf), _quota(spark, sf), HIGH, LOW)
+    gone = E.victims(touched(spark, sf), quota(spark, sf), HIGH, LOW)
     return gone.agg(F.count("*").alias("evicted"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes_reclaimed"))
 
 
 def eviction_not_needed(spark: SparkSession, sf: str) -> DataFrame:
     """Under a quota ten times as large nothing goes."""
-    return E.victims(touched(spark, sf), 100 * _quota(spark, sf), HIGH, LOW)
+    return E.victims(touched(spark, sf), 100 * quota(spark, sf), HIGH, LOW)
 
 
 def quota_marks(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ def quota_marks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def over_high_water(spark: SparkSession, sf: str) -> DataFrame:
-    return E.usage(objects(spark, sf), _quota(spark, sf), HIGH, LOW)
+    return E.usage(objects(spark, sf), quota(spark, sf), HIGH, LOW)
 
 
 def disk(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +153,7 @@ _SCORED = f"""scored AS (SELECT ns, key, size, created_ns, last_access_ns, acces
   FROM (SELECT *, s * s AS z FROM (SELECT *, (f - 1) / (f + 1) AS s FROM (SELECT *, x / pow(CAST(2 AS DOUBLE), e) AS f FROM (SELECT *, floor(log2(x)) + 1 AS e FROM (SELECT *, 1 + size / CAST(65536 AS DOUBLE) AS x FROM touched))))))"""
 
 
-def _victims(factor: int = 1) -> str:
+def victims_sql(factor: int = 1) -> str:
     quota = f"({factor * BYTES_EACH} * (SELECT count(*) FROM objects))"
     return f"""{_BASE}, {_SCORED}, q AS (SELECT sum(size) AS used, CAST(trunc(CAST({quota} AS DOUBLE) * {HIGH}) AS BIGINT) AS high, CAST(trunc(CAST({quota} AS DOUBLE) * {LOW}) AS BIGINT) AS low FROM touched),
 b AS (SELECT *, (row_number() OVER (ORDER BY last_access_ns, ns, key) - 1) // 512 AS batch FROM scored),
@@ -181,9 +181,9 @@ SELECT coalesce(o.ns, w.ns) AS ns, coalesce(o.key, w.key) AS key, coalesce(w.siz
     "replace_all": f"WITH {SQL_OBJECTS} SELECT ns, key, size, created_ns, last_access_ns, greatest(size % 3, 1) AS access_count FROM objects",
     "meta_upsert": "SELECT * FROM (VALUES ('reconciled_at', 'now'), ('version', '1'), ('node', 'a')) t(key, value)",
     "eviction_scores": f"{_BASE}, {_SCORED} SELECT ns, key, score FROM scored",
-    "eviction_victims": _victims() + "SELECT * FROM v",
-    "eviction_summary": _victims() + "SELECT count(*) AS evicted, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_reclaimed FROM v",
-    "eviction_not_needed": _victims(100) + "SELECT * FROM v",
+    "eviction_victims": victims_sql() + "SELECT * FROM v",
+    "eviction_summary": victims_sql() + "SELECT count(*) AS evicted, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_reclaimed FROM v",
+    "eviction_not_needed": victims_sql(100) + "SELECT * FROM v",
     "quota_marks": """SELECT *, CAST(trunc(max_bytes * high) AS BIGINT) AS high_bytes, CAST(trunc(max_bytes * low) AS BIGINT) AS low_bytes,
 CASE WHEN max_bytes <= 0 THEN 'max_bytes' WHEN high <= 0 OR high > 1 THEN 'high_water' WHEN low <= 0 OR low >= high THEN 'low_water' END AS error
 FROM (SELECT CAST(a AS BIGINT) AS max_bytes, CAST(b AS DOUBLE) AS high, CAST(c AS DOUBLE) AS low FROM (VALUES (1000, 0.9, 0.8), (4194304, 0.9, 0.7), (0, 0.9, 0.7), (-5, 0.9, 0.7), (1000, 0.0, -1.0), (1000, 1.1, 0.5), (1000, 0.9, 0.9), (1000, 0.9, 0.0), (12884901888, 0.9, 0.7)) t(a, b, c))""",

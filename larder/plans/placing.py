@@ -26,8 +26,7 @@ def placement_imbalance(spark: SparkSession, sf: str) -> DataFrame:
 def placement_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Few keys over eight members, some of which stay idle."""
     c = cluster(spark, 8)
-    few = table(spark, sf, "benchmark").where("item_id < 3").select(F.sha2(F.col("text").cast("binary"), 256).alias("key")).distinct()
-    return P.load(P.primary(few, c), c)
+    return P.load(P.primary(generators.sequence_keys(spark, 5).select("key"), c), c)
 
 
 def placement_owners(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +133,7 @@ def _flip_sql() -> str:
 ORACLES = {
     "placement_load": SQL_PLACED + _LOAD.format(m="members", r="ranked"),
     "placement_imbalance": SQL_PLACED + _IMBALANCE.format(load=_LOAD.format(m="members", r="ranked")),
-    "placement_zero_fill": f"WITH few AS (SELECT DISTINCT sha256(text) AS key FROM benchmark WHERE item_id < 3), {sql_members(8)}, {sql_ranked('few')} " + _LOAD.format(m="members", r="ranked"),
+    "placement_zero_fill": f"WITH few AS (SELECT sha256('object-' || i) AS key FROM range(5) t(i)), {sql_members(8)}, {sql_ranked('few')} " + _LOAD.format(m="members", r="ranked"),
     "placement_owners": SQL_PLACED + "SELECT key, name, rank FROM ranked",
     "placement_goldens": f"WITH {SQL_GOLDEN}, {', '.join(map(_cluster, (3, 4, 5, 8)))} " + " UNION ALL ".join(_IMBALANCE.format(load=_LOAD.format(m=f"m{n}", r=f"r{n}")) for n in (3, 4, 5, 8)),
     "holder_goldens": f"WITH {SQL_GOLDEN}, {', '.join(map(_cluster, (3, 4, 5, 6)))} " + " UNION ALL ".join(f"SELECT *, {n} AS members FROM ({_moves(f'r{n}', f'r{n + 1}')})" for n in (3, 4, 5)),

@@ -15,21 +15,26 @@ from larder.sources import generators
 CURSOR, CAPACITY, PAGE, BUDGET = ("cas", "4"), 40, 16, 100
 
 
+#: What each request adds to, by conditions that Spark and DuckDB read alike; and by how much.
+_PUT, _GET = "op = 'put' AND error IS NULL", "op <> 'put' AND error IS NULL AND status <> 404"
+INCREMENTS = (
+    ("store.puts_ok", _PUT, "1"), ("store.puts_rejected", "op = 'put' AND error IS NOT NULL AND status <> 503", "1"), ("store.gets", _GET, "1"), ("store.get_misses", "op <> 'put' AND error IS NULL AND status = 404", "1"),
+    ("store.bytes_in", _PUT, "bytes"), ("store.bytes_out", _GET, "bytes"), ("store.objects_stored", _PUT, "1"), ("store.bytes_stored", _PUT, "bytes"),
+    ("coordinator.local_hits", _GET + " AND hop <> 'read'", "1"), ("coordinator.peer_hits", _GET + " AND hop = 'read'", "1"), ("coordinator.misses", "op <> 'put' AND error IS NULL AND status = 404", "1"),
+    ("coordinator.coordinated_puts", _PUT + " AND hop = ''", "1"), ("coordinator.forwarded_puts", _PUT + " AND hop = 'coordinator'", "1"), ("coordinator.replica_writes", _PUT + " AND hop = 'replica'", "1"),
+    ("coordinator.insufficient_acks", "op = 'put' AND status = 503", "1"), ("coordinator.replica_failures", "op <> 'put' AND error IS NOT NULL", "1"),
+    ("index.inserts", _PUT, "1"), ("index.touches_queued", _GET, "1"), ("index.touches_written", _GET + " AND ns = 'cas'", "1"),
+    ("chaos.writes", "op = 'put'", "1"), ("chaos.write_ok", _PUT, "1"), ("chaos.write_refused", "op = 'put' AND status = 503", "1"), ("chaos.write_error", "op = 'put' AND error IS NOT NULL AND status <> 503", "1"),
+    ("chaos.reads", "op <> 'put'", "1"), ("chaos.read_hits", "op <> 'put' AND status = 200", "1"), ("chaos.read_misses", "op <> 'put' AND status = 404", "1"), ("chaos.read_errors", "op <> 'put' AND error IS NOT NULL", "1"),
+    ("chaos.bytes_written", _PUT, "bytes"), ("chaos.bytes_read", _GET, "bytes"), ("chaos.conn_refused", "error LIKE '%connection refused%'", "1"), ("chaos.timeouts", "error LIKE '%deadline exceeded%'", "1"), ("chaos.server_errors", "error IS NOT NULL AND status >= 500", "1"),
+)
+
+
 def _increments(spark: SparkSession, sf: str) -> DataFrame:
-    """Increments of counters, one or two a request, on nodes in turn."""
+    """Increments of counters on nodes in turn."""
     r = requests(spark, sf).withColumn("node", F.element_at(F.array(*map(F.lit, NODES)), (F.col("seq") % 3 + 1).cast("int")))
-    bad, put = F.col("error").isNotNull(), F.col("op") == "put"
-    counter = (
-        F.when(put & bad & (F.col("status") == 503), F.struct(F.lit("coordinator").alias("subsystem"), F.lit("insufficient_acks").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .when(put & bad, F.struct(F.lit("store").alias("subsystem"), F.lit("puts_rejected").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .when(put & (F.col("hop") == "replica"), F.struct(F.lit("coordinator").alias("subsystem"), F.lit("replica_writes").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .when(put, F.struct(F.lit("store").alias("subsystem"), F.lit("puts_ok").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .when(bad, F.struct(F.lit("coordinator").alias("subsystem"), F.lit("replica_failures").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .when(F.col("status") == 404, F.struct(F.lit("coordinator").alias("subsystem"), F.lit("misses").alias("counter"), F.lit(1).cast("long").alias("by")))
-        .otherwise(F.struct(F.lit("coordinator").alias("subsystem"), F.lit("local_hits").alias("counter"), F.lit(1).cast("long").alias("by")))
-    )
-    size = F.struct(F.lit("store").alias("subsystem"), F.when(put, "bytes_in").otherwise("bytes_out").alias("counter"), F.when(bad, 0).otherwise(F.col("bytes")).cast("long").alias("by"))
-    return r.select("seq", "node", F.inline(F.array(counter, size)))
+    one = lambda path, when, by: F.struct(F.lit(path.split(".")[0]).alias("subsystem"), F.lit(path.split(".")[1]).alias("counter"), F.expr(f"CASE WHEN {when} THEN {by} END").cast("long").alias("by"))
+    return r.select("seq", "node", F.inline(F.filter(F.array(*[one(*x) for x in INCREMENTS]), lambda x: x["by"].isNotNull())))
 
 
 def subsystem_counters(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +45,14 @@ def hit_rates(spark: SparkSession, sf: str) -> DataFrame:
     return reports.hit_rate(subsystem_counters(spark, sf))
 
 
-def derived_metrics(spark: SparkSession, sf: str) -> DataFrame:
+def metric_series(spark: SparkSession, sf: str) -> DataFrame:
     per = holdings(spark, sf).groupBy("node").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
     usage = per.withColumns({"quota_bytes": F.lit(1_000_000), "high_water_bytes": F.lit(900_000), "low_water_bytes": F.lit(700_000)})
-    series = reports.derived_metrics(subsystem_counters(spark, sf), usage)
-    return series.select("node", "name", F.coalesce(F.try_element_at("labels", F.lit("source")), F.lit("")).alias("source"), "value")
+    return reports.derived_metrics(subsystem_counters(spark, sf), usage)
+
+
+def derived_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metric_series(spark, sf).select("node", "name", F.coalesce(F.try_element_at("labels", F.lit("source")), F.lit("")).alias("source"), "value")
 
 
 def build_deltas(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,9 +81,7 @@ _NAMES = (subsystem_counters, hit_rates, derived_metrics, build_deltas, audit_pa
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _INC = f"""{SQL_REQUESTS}, x AS (SELECT *, ['node-a', 'node-b', 'node-c'][seq % 3 + 1] AS node FROM requests),
-i AS (SELECT seq, node, CASE WHEN op = 'put' AND error IS NOT NULL AND status = 503 THEN 'coordinator.insufficient_acks' WHEN op = 'put' AND error IS NOT NULL THEN 'store.puts_rejected' WHEN op = 'put' AND hop = 'replica' THEN 'coordinator.replica_writes' WHEN op = 'put' THEN 'store.puts_ok'
-  WHEN error IS NOT NULL THEN 'coordinator.replica_failures' WHEN status = 404 THEN 'coordinator.misses' ELSE 'coordinator.local_hits' END AS c, 1 AS n FROM x
-  UNION ALL SELECT seq, node, CASE WHEN op = 'put' THEN 'store.bytes_in' ELSE 'store.bytes_out' END, CASE WHEN error IS NOT NULL THEN 0 ELSE bytes END FROM x),
+i AS ({" UNION ALL ".join(f"SELECT seq, node, '{path}' AS c, CAST({by} AS BIGINT) AS n FROM x WHERE {when}" for path, when, by in INCREMENTS)}),
 known AS (SELECT unnest([{", ".join(f"'{s}.{c}'" for s, cs in reports.COUNTERS.items() for c in cs)}]) AS c)"""
 
 

@@ -10,7 +10,7 @@ from larder.functions.hashing import sha256_hex
 from larder.operators import placement as P
 from larder.operators import repair as R
 from larder.operators import requests as Q
-from larder.plans.base import RUN_SECONDS, SQL_PLACED, SQL_REQUESTS, cluster, contents, holdings, node_state, requests, table
+from larder.plans.base import RUN_SECONDS, SQL_OBJECTS, SQL_PLACED, SQL_REQUESTS, cluster, contents, holdings, node_state, objects, requests, table
 
 
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,11 +39,11 @@ def replica_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replica_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """At most 200 refused keys and then acknowledged ones up to 300, each by a stride through the sorted keys."""
-    keys = contents(spark, sf).select("key")
+    """At most 2,000 refused keys and then acknowledged ones up to 3,000, each by a stride through the sorted keys."""
+    keys = objects(spark, sf).select("key")
     refused, acked = keys.where("substr(key, 1, 1) < '6'"), keys.where("substr(key, 1, 1) >= '6'")
-    first = R.subsample(refused, "key", 200, refused.count())
-    return first.unionByName(R.subsample(acked, "key", 300 - first.count(), acked.count()))
+    first = R.subsample(refused, "key", 2_000, refused.count())
+    return first.unionByName(R.subsample(acked, "key", 3_000 - first.count(), acked.count()))
 
 
 def read_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _summary(by: str, where: str) -> str:
 _RATES = "SELECT {by}, count(*) AS operations, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND status = 404) AS misses, CAST(coalesce(sum(bytes) FILTER (error IS NULL AND status <> 404), 0) AS BIGINT) AS bytes, count(*) / CAST({s} AS DOUBLE) AS ops_per_sec, CAST(coalesce(sum(bytes) FILTER (error IS NULL AND status <> 404), 0) AS DOUBLE) / {s} / 1048576 AS mib_per_sec, count(*) FILTER (error IS NOT NULL) / CAST(count(*) AS DOUBLE) AS error_rate FROM {t} GROUP BY {by}"
 _RUNS = _RATES.format(by="run", s=RUN_SECONDS, t="requests")
 _LE = "CASE " + " ".join(f"WHEN latency_ns <= {b} THEN {b}" for b in Q.BUCKETS_NS) + " END"
-_SAMPLE = "SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c FROM contents WHERE {w}) WHERE c <= {n} OR (n % (c // {n}) = 0 AND n < {n} * (c // {n}))"
+_SAMPLE = "SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c FROM objects WHERE {w}) WHERE c <= {n} OR (n % (c // {n}) = 0 AND n < {n} * (c // {n}))"
 _ERRORS = ("'not_found'", "'bad_key'", "'bad_namespace'", "'closed'", "'canceled'", "'deadline_exceeded'", "'digest_mismatch'", "'too_large'", "'over_quota'", "'short_write'", "'insufficient_replicas'", "'upload_interrupted'", "'other'")
 
 ORACLES = {
@@ -219,7 +219,7 @@ ORACLES = {
     "repair_queue": SQL_PLACED + _EXPECTED + _TASKS + " ORDER BY key, node LIMIT 16",
     "replica_convergence": SQL_PLACED + f"SELECT *, under = 0 AND unreadable = 0 AS converged FROM (SELECT count(*) FILTER (class = 'full') AS \"full\", count(*) FILTER (class = 'under') AS under, count(*) FILTER (class = 'absent') AS absent, count(*) FILTER (class = 'unreadable') AS unreadable FROM ({_CLASSES}))",
     "replica_classes": SQL_PLACED + _CLASSES,
-    "replica_sample": SQL_PLACED + f", f AS ({_SAMPLE.format(w="substr(key, 1, 1) < '6'", n=200)}), g AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c, 300 - (SELECT count(*) FROM f) AS w FROM contents WHERE substr(key, 1, 1) >= '6') SELECT key FROM f UNION ALL SELECT key FROM g WHERE c <= w OR (n % (c // w) = 0 AND n < w * (c // w))",
+    "replica_sample": f"WITH {SQL_OBJECTS}, f AS ({_SAMPLE.format(w="substr(key, 1, 1) < '6'", n=2000)}), g AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, count(*) OVER () AS c, 3000 - (SELECT count(*) FROM f) AS w FROM objects WHERE substr(key, 1, 1) >= '6') SELECT key FROM f UNION ALL SELECT key FROM g WHERE c <= w OR (n % (c // w) = 0 AND n < w * (c // w))",
     "read_fallback": SQL_PLACED + """, reads AS (SELECT c.key, n.node, h.hop FROM contents c CROSS JOIN nodes n CROSS JOIN (VALUES (''), ('read')) h(hop)),
 p AS (SELECT r.key, r.name AS peer, r.rank, n.reachable, h.key IS NOT NULL AS held FROM ranked r JOIN nodes n ON r.name = n.node LEFT JOIN holdings h ON h.key = r.key AND h.node = r.name),
 x AS (SELECT d.key, d.node, d.hop, bool_or(p.peer = d.node AND p.held) AS here, min_by(p.peer, p.rank) FILTER (p.peer <> d.node AND p.reachable AND p.held AND d.hop = '') AS hit, bool_or(p.peer <> d.node AND NOT p.reachable) AS down FROM reads d JOIN p ON d.key = p.key GROUP BY ALL)

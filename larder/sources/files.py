@@ -89,8 +89,9 @@ def parse_metrics(rows: DataFrame, line: Column) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Long-form metrics (name, labels map, value) in the exposition format, labels by name."""
-    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    """Long-form metrics (name, labels map, value) in the exposition format, labels by name; backslashes, quotes and line feeds in their values are escaped."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
     metrics.select(F.concat_ws(" ", F.concat("name", labels), F.col("value").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
@@ -108,6 +109,25 @@ def write_report(df: DataFrame, folder: str, stamp: str, smoke: bool = False) ->
     return paths
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def markdown_tables(df: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, markdown): a section for each scenario, its rows in order. A report has a bounded number of rows."""
+    shown = [c for c in df.columns if c != by]
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in shown]), F.lit(" |"))
+    head = "| " + " | ".join(shown) + " |\n|" + "---:|" * len(shown)
+    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), cells.alias("line")))).alias("r"))
+    return rows.select(by, F.concat(F.lit("### `"), F.col(by), F.lit("`\n\n" + head + "\n"), F.array_join("r.line", "\n")).alias("markdown"))
+
+
 def markdown_table(df: DataFrame, order: str) -> DataFrame:
     """A report (a bounded number of rows) as one Markdown table in one row."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
@@ -117,7 +137,8 @@ def markdown_table(df: DataFrame, order: str) -> DataFrame:
 
 
 def build_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BUILD_EVENT).json(path)
+    """A build's events, one file of bounded size, with `seq`, their place in it."""
+    return spark.read.schema(BUILD_EVENT).json(path).coalesce(1).withColumn("seq", F.monotonically_increasing_id())
 
 
 def runner_counts(events: DataFrame, seq: str) -> DataFrame:

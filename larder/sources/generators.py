@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions.hashing import sha256_hex
 
 
+def drawn(*of: Column | int) -> Column:
+    """A number below 2**60 that depends on these alone: the first 15 hexadecimal digits of the MD5 of them as text, by slashes."""
+    text = F.concat_ws("/", *[(F.lit(x) if isinstance(x, int) else x).cast("string") for x in of])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def corpus(spark: SparkSession, name: str, count: int, size: int, seed: int) -> DataFrame:
     """(id, content, key): objects of `size` bytes that depend on name, seed and id only, and their digests as keys."""
     block = lambda n: F.unhex(sha256_hex(F.concat_ws("/", F.lit(name), F.lit(str(seed)), F.col("id").cast("string"), n.cast("string"))))
@@ -40,7 +46,7 @@ def layered_graph(spark: SparkSession, libraries: int, layers: int, fan_in: int,
     first = F.ceil((F.col("layer") - 1) * libraries / layers)
     width = F.ceil(F.col("layer") * libraries / layers) - first
     edges = libs.select("target", "layer", first.alias("first"), width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(fan_in - 1))).alias("k"))
-    dep = F.col("first") + F.pmod(F.xxhash64(F.lit(seed), "target", "k"), F.col("width"))
+    dep = F.col("first") + drawn(seed, F.col("target"), F.col("k")) % F.col("width")
     return edges.where("width > 0").select("target", dep.cast("long").alias("dep")).distinct()
 
 
@@ -53,7 +59,7 @@ def fault_schedule(spark: SparkSession, nodes: list[str], seconds: int, every: i
 
 def mixed_operations(spark: SparkSession, count: int, objects: int, seed: int, read_share: float = 0.8, miss_share: float = 0.2) -> DataFrame:
     """(id, op, object): a reproducible mix of reads of known objects, reads of absent ones (object null) and writes."""
-    u = lambda n: (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0))
+    u = lambda n: (drawn(seed, n, F.col("id")) % 1_000_003) / F.lit(1_000_003.0)
     op = F.when(u(1) < read_share, F.when(u(2) < miss_share, "miss").otherwise("get")).otherwise("put")
     rows = spark.range(count).withColumn("op", op)
-    return rows.withColumn("object", F.when(F.col("op") != "miss", F.pmod(F.xxhash64(F.lit(seed), F.lit(3), "id"), F.lit(objects))))
+    return rows.withColumn("object", F.when(F.col("op") != "miss", drawn(seed, 3, F.col("id")) % objects))
