@@ -1,18 +1,21 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are words and word stems, found once, twice or more often. Some are a fixed lexicon; the others are proposed from
-labelled training rows where their excess among toxic ones could hardly be chance. The label model
-takes each voter to fire with one rate on toxic and another on clean text (estimated by
-expectation maximisation, the labels being one more, fallible voter), and voters that fire together more than their class
+Voters find something once, twice or more often. Lexicons of four languages and patterns (tricks of spelling, an insult
+addressed or shouted, rows of marks, threats) stand whatever the labels say; words and word stems are proposed beside them from labelled
+training rows where their excess among toxic ones could hardly be chance, since insults that no lexicon has are found only so. The label
+model takes each voter, the label being one of them and no more than that, to fire with one rate on toxic and another on clean text
+(estimated by expectation maximisation), and voters that fire together more than their class
 explains to be correlated, which shrinks what they add. A logistic classifier is then trained on the
 posterior labels, and scores texts by what voters find in them.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +26,52 @@ from pyspark.sql import types as T
 from larder.llm.common import extended, mapped, texts, with_fields, without
 from larder.llm.training import MAX_ROWS, sample, sigmoid, words
 
-#: Insults that are voters whatever the labels say.
-LEXICON = ("bastard", "clown", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
+#: Insults that are voters whatever the labels say, in four languages; words that address someone; threats, as two words.
+LEXICONS = {
+    "en": ("bastard", "clown", "creep", "crap", "disgusting", "dumb", "filthy", "fool", "freak", "idiot", "imbecile", "jerk", "loser", "lunatic", "moron", "pathetic", "pig", "rat", "retard", "scum", "stupid", "trash", "ugly", "vermin", "worthless"),
+    "de": ("abschaum", "arschloch", "blödmann", "depp", "dreckig", "dumm", "dummkopf", "ekelhaft", "hässlich", "hurensohn", "idiotin", "lächerlich", "miststück", "scheiße", "schlampe", "schwein", "trottel", "versager", "vollidiot", "wertlos", "widerlich"),
+    "fr": ("abruti", "bouffon", "connard", "connasse", "crétin", "dégoûtant", "débile", "imbécile", "merde", "minable", "nul", "ordure", "pourri", "pourriture", "racaille", "salaud", "salope", "stupide"),
+    "es": ("asqueroso", "basura", "bastardo", "cabrón", "cerdo", "cretino", "escoria", "estúpido", "feo", "gilipollas", "idiota", "imbécil", "inútil", "mierda", "patético", "perdedor", "puta", "tonto"),
+}
+LEXICON = tuple(dict.fromkeys(w for words_ in LEXICONS.values() for w in words_))
+ADDRESS = ("you", "your", "youre", "ur", "du", "dich", "dein", "deine", "ihr", "euch", "tu", "toi", "ton", "vous", "votre", "tú", "ti", "eres", "usted", "ustedes")
+THREATS = ("kill you", "hate you", "hurt you", "shut up", "halt maul", "hasse dich", "hasse euch", "ta gueule", "te déteste", "te odio", "cállate ya")
+#: How letters are disguised.
+TRICKS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+PATTERNS = ("?trick", "?address", "?shout", "?marks", "?threat", "?several")
+#: Words between an insult and what makes it worse.
+NEAR = 3
 #: Lengths of the stems (patterns "stem*") that are proposed as voters beside whole words, and how often a voter may have to find its term.
 STEMS, TIMES = (3, 4, 5, 6, 7, 8, 9), (1, 2, 3)
 #: Voters proposed from labels at most; the chance at which an excess counts, over all candidates.
 MAX_VOTERS, CHANCE = 512, 0.01
+#: So many times more are looked at; a stem is left out for a longer term in this share of its rows or more.
+NESTED, SAME = 4, 0.9
 #: Terms that a task counts before it passes their sums on.
 TERMS = 150_000
 #: Share of toxic rows, at least, among those in which a proposed voter fires.
 PRECISION = 0.6
 CACHE = 250_000
+#: Finds of a voter in a text that count at most, in training and in scoring.
+MOST = 65_535
+_lexicon, _address, _threats = frozenset(LEXICON), frozenset(ADDRESS), frozenset(THREATS)
+_threat_words = frozenset(t.split()[0] for t in THREATS)
+_marks, _signed, _stretched = re.compile(r"[!?]{3,}").findall, re.compile(r"\w*[@$][\w@$]*").findall, re.compile(r"(\w)\1{2,}")
+
+
+def disguised(word: str) -> bool:
+    """Whether a word is an insult only once disguised letters are put right, or letters that stand three times and more are put once."""
+    return word not in _lexicon and (word.translate(TRICKS) in _lexicon or _stretched.sub(r"\1", word) in _lexicon)
+
+
+def beside(text: str, low: list[str]) -> dict[str, int]:
+    """Of a text with insults and its words in lower case: address and shout count insults with a word of address, or with a word in
+    capitals, within NEAR words; several, different insults beyond the first."""
+    at, raw = [i for i, w in enumerate(low) if w in _lexicon], words(text)
+    out = {"?address": sum(not _address.isdisjoint(low[max(0, i - NEAR) : i + NEAR + 1]) for i in at), "?several": len({low[i] for i in at}) - 1}
+    if len(raw) == len(low):
+        out["?shout"] = sum(any(len(w) > 2 and w.isupper() for w in raw[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
+    return out
 
 
 def terms(word: str) -> list[str]:
@@ -86,78 +124,104 @@ def propose(rows: DataFrame) -> list[str]:
     clear = tried.where((a >= PRECISION * (a + c)) & (a + c < n1 + n0)).withColumn("g", 2 * (part(a, F.lit(n1)) + part(c, F.lit(n0))))
     n = max(tried.count(), 1)
     least = 2 * np.log(n / CHANCE)  # the ratio's tail is about exp(-g / 2)
-    top = clear.where(F.col("g") > float(least)).orderBy(F.desc("g"), F.length("term"), "term").limit(MAX_VOTERS).collect()
-    return [r["term"] for r in top]
+    top = clear.where(F.col("g") > float(least)).orderBy(F.desc("g"), F.length("term"), "term").limit(NESTED * MAX_VOTERS).collect()
+    return sharpest({r["term"]: r["toxic"] + r["clean"] for r in top})[:MAX_VOTERS]
+
+
+def sharpest(found: dict[str, int]) -> list[str]:
+    """Voters without those whose stem hardly finds more than a longer stem or a word that begins with it."""
+    split = {name: tuple(name.split(" ", 1)) for name in found}
+    longest = sorted(found, key=lambda x: (-len(split[x][1].rstrip("*")), split[x][1].endswith("*"), x))
+    kept: list[str] = []
+    for name in longest:
+        times, term = split[name]
+        stem = term[:-1] if term.endswith("*") else None
+        if stem is None or not any(split[o][0] == times and split[o][1].startswith(stem) and found[o] >= SAME * found[name] for o in kept):
+            kept.append(name)
+    return [name for name in found if name in set(kept)]
 
 
 class Voters:
-    """How often each voter finds its term, by one lookup a word; the lookups of words are cached, in bounded memory."""
+    """How often each voter finds its term or pattern, by one lookup a word; the lookups of words are cached, in bounded memory."""
 
     def __init__(self, names: list[str]):
         split = [x.split(" ", 1) for x in names]
-        self.index = {t: i for i, t in enumerate(dict.fromkeys(t for _, t in split))}
+        self.index = {t: i for i, t in enumerate(dict.fromkeys([*(t for _, t in split), *PATTERNS, "!insult", "!threat"]))}  # the last two only tell where to look
         self.term = np.array([self.index[t] for _, t in split], np.int64)
         self.times = np.array([int(k) for k, _ in split], np.int32)
+        self.insult, self.threat = len(self.index) - 2, len(self.index) - 1
         outer = self
 
         class Hits(dict):
             def __missing__(self, word: str) -> tuple[int, ...]:
                 if len(self) >= CACHE:
                     self.clear()
-                found = self[word] = tuple(outer.index[t] for t in terms(word) if t in outer.index)
-                return found
+                found = [outer.index[t] for t in terms(word) if t in outer.index]
+                found += [outer.index["?trick"]] * disguised(word) + [outer.insult] * (word in _lexicon) + [outer.threat] * (word in _threat_words)
+                self[word] = tuple(found)
+                return self[word]
 
         self.hits = Hits()
 
     def count(self, text: str) -> tuple[np.ndarray, int]:
-        """(what each voter finds from the number of times on that it asks for, number of words)."""
-        w = words(text.lower())
+        """(what each voter finds from the number of times on that it asks for, at most MOST, number of words)."""
+        lower = text.lower()
+        w = words(lower)
         out = np.zeros(len(self.index), np.int32)
         for found in filter(None, map(self.hits.__getitem__, w)):
             for i in found:
                 out[i] += 1
-        return np.maximum(out[self.term] - self.times + 1, 0), len(w)
-
-
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of toxic for each row, weight of each voter).
-
-    votes: rows by voters, 0 or 1. A voter's two firing rates are its accuracy; its weight is the inverse of the sum of its
-    correlations, within the classes, with all voters, so that a crowd that always fires together counts about once.
+        if "@" in text or "$" in text:
+            out[self.index["?trick"]] += sum(disguised(x) for x in _signed(lower))
+        if "!!" in text or "??" in text or "!?" in text or "?!" in text:
+            out[self.index["?marks"]] = len(_marks(text))
+        if out[self.threat]:
+            out[self.index["?threat"]] = sum(f"{a} {b}" in _threats for a, b in pairwise(w))
+        if out[self.insult]:
+            for p, n in beside(text, w).items():
+                out[self.index[p]] = n
+        return np.clip(out[self.term] - self.times + 1, 0, MOST), len(w)
+
+
+def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of toxic for each row, weight of each voter of votes).
+
+    votes: rows by voters, 0 or 1. The label y is two more voters, one for each value, and that no voter fires is another; none has a head
+    start. A voter's two firing rates are its accuracy, whether it fires or not; its weight is the inverse of the sum of its correlations,
+    within the classes, with those that read the text as it does, so that a crowd that always fires together counts about once. At
+    the start a row is as likely toxic as it has votes for that: half with one, two thirds with two.
     """
-    n, m = votes.shape
-    v = votes.astype(np.float32)  # zeros and ones: their products are exact
+    v = np.column_stack([votes, ~votes.any(axis=1), y == 1, y == 0]).astype(np.float32)  # zeros and ones: their products are exact
+    n, m = v.shape
     both = (v.T @ v).astype(np.float64)
-    post = np.where(y == 1, 0.95, 0.05)
+    reads = np.arange(m) < m - 3
+    fired = votes.sum(axis=1) + (y == 1).astype(np.float64)
+    post = fired / (fired + 1)
     weight = np.ones(m)
     for _ in range(rounds):
         p1, p0 = post.sum(), (1 - post).sum()
         in1, in0 = (x.astype(np.float32) @ v for x in (post, 1 - post))
         t1, t0 = (in1.astype(np.float64) + 0.1) / (p1 + 1), (in0.astype(np.float64) + 0.1) / (p0 + 1)
-        right = (post * (y == 1)).sum() + 1, ((1 - post) * (y == 0)).sum() + 1
-        a1, a0 = min(right[0] / (p1 + 2), 0.99), min(right[1] / (p0 + 2), 0.99)
-        if m:
-            # the covariance of what a voter fires beyond its rates, from sums alone
-            mixed = np.outer(in1, t1) + np.outer(in0, t0)
-            cross = (post * (1 - post)).sum() * np.outer(t1, t0)
-            cov = (both - mixed - mixed.T + (post**2).sum() * np.outer(t1, t1) + cross + cross.T + ((1 - post) ** 2).sum() * np.outer(t0, t0)) / n
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            corr[corr < 0.2] = 0
-            weight = 1 / np.maximum(corr.sum(axis=1), 1)
-        fire, rest = np.log(t1 / t0), np.log((1 - t1) / (1 - t0))
-        raw = np.log((p1 + 1) / (p0 + 1)) + (v @ (weight * (fire - rest)).astype(np.float32)).astype(np.float64) + (weight * rest).sum()
-        raw += np.where(y == 1, np.log(a1 / (1 - a0)), np.log((1 - a1) / a0))
+        # the covariance of what a voter fires beyond its rates, from sums alone
+        mixed = np.outer(in1, t1) + np.outer(in0, t0)
+        cross = (post * (1 - post)).sum() * np.outer(t1, t0)
+        cov = (both - mixed - mixed.T + (post**2).sum() * np.outer(t1, t1) + cross + cross.T + ((1 - post) ** 2).sum() * np.outer(t0, t0)) / n
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        corr = np.clip(cov / np.outer(sd, sd), 0, 1)
+        corr[corr < 0.2] = 0
+        weight = np.where(reads, 1 / np.maximum(corr[:, reads].sum(axis=1), 1), 1.0)
+        fire, rest = weight * np.log(t1 / t0), np.where(reads, weight * np.log((1 - t1) / (1 - t0)), 0)
+        raw = np.log((p1 + 1) / (p0 + 1)) + (v @ (fire - rest).astype(np.float32)).astype(np.float64) + rest.sum()
         new = sigmoid(raw)
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
-    return post, weight
+    return post, weight[:-3]
 
 
 @dataclass
 class Model:
-    """Voters and the classifier's weights; at most len(LEXICON) + MAX_VOTERS of them."""
+    """Voters and the classifier's weights; at most those that stand without labels and MAX_VOTERS more."""
 
     names: list[str]
     share: np.ndarray  # of the label model: how much each voter counts beside those correlated with it
@@ -201,19 +265,17 @@ def fit(names: list[str], counts: np.ndarray, n_words: np.ndarray, y: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most max_rows labelled rows, see training.sample. What reaches the driver of each is a count for each voter."""
     rows = sample(docs, labels, label, usable, text_col=text_col, max_rows=max_rows)
-    names = list(dict.fromkeys([*[f"1 {w}" for w in LEXICON], *propose(rows)]))
+    names = list(dict.fromkeys([*[f"1 {w}" for w in (*LEXICON, *PATTERNS)], *propose(rows)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(names)
         for b in batches:
             made = [voters.count(t) for t in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([np.minimum(c, 65_535).astype("<u2").tobytes() for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), b.column(1)], names=["counts", "n", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.astype("<u2").tobytes() for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), b.column(1)], names=["counts", "n", "y"])
 
-    got = rows.select("text", "y").transform(mapped, run, "counts binary, n long, y int").orderBy("y", "n", F.xxhash64("counts")).toArrow()
-    counts = np.empty((got.num_rows, len(names)), "<u2")
-    for i, x in enumerate(got.column(0)):
-        counts[i] = np.frombuffer(x.as_py(), "<u2")
-    return fit(names, counts, got.column(1).to_numpy().astype(float), got.column(2).to_numpy())
+    got = sorted((y, n, c) for c, n, y in rows.select("text", "y").transform(mapped, run, "counts binary, n long, y int").toArrow().to_pandas().itertuples(index=False))
+    counts = np.array([np.frombuffer(c, "<u2") for _, _, c in got]).reshape(len(got), len(names))
+    return fit(names, counts, np.array([n for _, n, _ in got], float), np.array([y for y, _, _ in got], np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

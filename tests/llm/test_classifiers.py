@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +70,108 @@ def test_label_model_weighs_crowds_and_finds_accuracies():
     assert weight[:3].min() > 0.8 and weight[3:].max() < 0.4
 
 
+def plain_count(name, text):
+    """What one voter finds, by the plainest reading of its name."""
+    times, term = name.split(" ", 1)
+    low, raw = re.findall(r"\w+", text.lower()), re.findall(r"\w+", text)
+    bad = set(toxicity.LEXICON)
+    at = [i for i, w in enumerate(low) if w in bad]
+    near = lambda i, ws: ws[max(0, i - 3) : i + 4]
+    fix = lambda w: (w.translate(toxicity.TRICKS), re.sub(r"(\w)\1\1+", r"\1", w))
+    if term == "?trick":
+        n = sum(w not in bad and bool(bad & set(fix(w))) for w in low + [x for x in re.findall(r"[\w@$]+", text.lower()) if "@" in x or "$" in x])
+    elif term == "?address":
+        n = sum(bool(set(near(i, low)) & set(toxicity.ADDRESS)) for i in at)
+    elif term == "?shout":
+        n = sum(any(len(w) > 2 and w.isupper() for w in near(i, raw)) for i in at) if len(low) == len(raw) else 0
+    elif term == "?marks":
+        n = len(re.findall(r"[!?]{3,}", text))
+    elif term == "?threat":
+        n = sum(" ".join(low[i : i + 2]) in toxicity.THREATS for i in range(len(low)))
+    elif term == "?several":
+        n = max(len({low[i] for i in at}) - 1, 0)
+    elif term.endswith("*"):
+        n = sum(w.startswith(term[:-1]) for w in low)
+    else:
+        n = low.count(term)
+    return min(max(n - int(times) + 1, 0), toxicity.MOST)
+
+
+def test_voters_equal_a_plain_version():
+    rng = random.Random(4)
+    pool = ["you", "YOU", "idiot", "IDIOT", "1d10t", "$tupid", "m0r@n", "idiooot", "kill", "hate", "du", "merde", "river", "river", "a@b", "shut", "up", "Stupid!!!", "what?!?", "insult", "threat", "ist", "ßIDIOTA", "İx", "stupidly", "!!", "é"]
+    names = [f"{k} {t}" for k in (1, 2, 3) for t in ("idiot", "stup*", "river", "insult", "you", *toxicity.PATTERNS)]
+    voters = toxicity.Voters(names)
+    hit = set()
+    for _ in range(400):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 25)))
+        got, n = voters.count(text)
+        assert got.tolist() == [plain_count(x, text) for x in names] and n == len(re.findall(r"\w+", text.lower()))
+        hit |= {x for x, c in zip(names, got, strict=True) if c}
+    assert len(hit) > 25
+
+
+def test_proposals_equal_a_plain_version(spark, monkeypatch):
+    """Log-likelihood ratios of every term, in portions and at once; nested stems go."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        y = int(i % 5 == 0)
+        words = [rng.choice(["stone", "river", "lamp", "road", "hall", "gatheren"]) for _ in range(12)]
+        rows.append((" ".join(words + [rng.choice(["grublich", "grubheit", "Vex"])] * (y and rng.random() < 0.8) * rng.randrange(1, 4) + ["vexed"] * (rng.random() < 0.1)), y))
+    seen = {0: Counter(), 1: Counter()}
+    for text, y in rows:
+        low = text.lower().split()
+        for t in {x for w in low for x in [w, *[w[:k] + "*" for k in toxicity.STEMS if len(w) >= k]]}:
+            n = sum(w.startswith(t[:-1]) if t.endswith("*") else w == t for w in low)
+            seen[y].update(f"{k} {t}" for k in toxicity.TIMES if n >= k)
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    found, tried = {}, sum(c >= 2 for c in seen[1].values())
+    for t, a in seen[1].items():
+        c = seen[0][t]
+        if a < 2 or a < toxicity.PRECISION * (a + c):
+            continue
+        share = (a + c) / (n1 + n0)
+        g = 2 * sum(k * math.log(k / (n * share)) * (k > 0) if k == n else (k and k * math.log(k / (n * share))) + (n - k) * math.log((n - k) / (n * (1 - share))) for k, n in ((a, n1), (c, n0)))
+        if g > 2 * math.log(tried / toxicity.CHANCE):
+            found[t] = (g, a + c)
+    want = set()
+    for t, (_, n) in found.items():
+        k, stem = t.split(" ", 1)
+        longer = [o for o in found if o != t and o.split(" ", 1)[0] == k and o.split(" ", 1)[1].startswith(stem[:-1]) and len(o.rstrip("*")) >= len(t.rstrip("*"))]
+        if not stem.endswith("*") or not any(found[o][1] >= 0.9 * n for o in longer):
+            want.add(t)
+    df = spark.createDataFrame(rows, "text string, y int").repartition(3)
+    got = toxicity.propose(df)
+    assert set(got) == want and {"1 grub*", "1 vex"} <= want
+    monkeypatch.setattr(toxicity, "TERMS", 20)
+    assert toxicity.propose(df) == got
+
+
+def test_scores_equal_a_plain_version(spark, docs):
+    rng = np.random.default_rng(8)
+    names = ["1 river", "2 sto*", "1 ?marks", "1 stone"]
+    m = toxicity.Model(names, np.array([1.0, 0.5, 1.0, 0.25]), rng.normal(size=9))
+    for r in toxicity.score(docs, m).collect():
+        text = r["text"] or ""
+        c = [plain_count(x, text) for x in names]
+        fired = [s * (k > 0) for k, s in zip(c, m.share, strict=True)]
+        hits = sum(k * s for k, s in zip(c, m.share, strict=True))
+        x = [1, math.log1p(sum(fired)), math.log1p(hits), math.sqrt(hits / max(len(re.findall(r"\w+", text.lower())), 1)), float(not any(c)), *[0.3 * f for f in fired]]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.w, strict=True)))), abs=1e-9)
+
+
+def test_label_model_needs_no_labels_ahead():
+    """The label is one voter: where several others agree against it, it is overruled, and it is found to be as good as it is."""
+    rng = np.random.default_rng(9)
+    truth = rng.random(5_000) < 0.2
+    votes = np.array([rng.random(5_000) < np.where(truth, 0.6, 0.02) for _ in range(6)]).T
+    noisy = np.where(rng.random(5_000) < 0.1, ~truth, truth).astype(int)
+    post, _ = toxicity.label_model(votes, noisy)
+    several = votes.sum(axis=1) >= 3
+    assert (post[several & (noisy == 0)] > 0.5).mean() > 0.9 and ((post > 0.5) == truth).mean() > 0.97
+
+
 @pytest.mark.parametrize("module, label, n", [(quality, "quality", 5), (toxicity, "toxic", 4)])
 def test_awkward_documents(spark, docs, awkward, none, module, label, n):
     marks = spark.createDataFrame([(i, int("river" in (t or ""))) for i, t, *_ in awkward if i is not None], f"doc_id long, {label} int")
@@ -100,4 +205,4 @@ def test_held_out_quality(spark):
 
 def test_held_out_toxicity(spark):
     y, p = held_out(spark, toxicity, "toxic", 4, 2)
-    assert (y == p).mean() > 0.97 and p[y == 0].mean() < 0.02 and p[y == 1].mean() > 0.85
+    assert (y == p).mean() > 0.97 and p[y == 0].mean() < 0.02 and p[y == 1].mean() > 0.9
