@@ -20,3 +20,18 @@ def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     counts = spread.groupBy("_part").agg(F.count("*").alias("_c"))
     before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))
     return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_i") - 1).drop("_part", "_i", "_before")
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, for each new name of sums, what a column adds up to over the rows before in the order of columns, which have to tell all rows apart.
+
+    As in numbered, rows are dealt by ranges and only the ranges' sums meet in one task.
+    """
+    spread = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before_row, before_part = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1), W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("long")
+    within = spread.withColumns({new: F.coalesce(F.sum(c).over(before_row), nothing) for new, c in sums.items()})
+    parts = spread.groupBy("_part").agg(*[F.sum(c).alias(f"_{new}") for new, c in sums.items()])
+    before = parts.select("_part", *[F.coalesce(F.sum(f"_{new}").over(before_part), nothing).alias(f"_{new}") for new in sums])
+    joined = within.join(F.broadcast(before), "_part")
+    return joined.withColumns({new: F.col(new) + F.col(f"_{new}") for new in sums}).drop("_part", *[f"_{new}" for new in sums])
