@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 
 from larder.operators.lineage import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "texts", "whole_runs", "with_fields", "without"]
+__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "spread", "texts", "whole_runs", "with_fields", "without"]
 
 #: Rows and bytes of an Arrow batch that a Python operator hands back to the JVM.
 OUT_ROWS, OUT_BYTES = 2_000, 8 << 20
+#: Tasks that rows are spread over at most; beyond it they get more each, which pass by.
+MOST_TASKS = 20_000
 
 
 def share_code(spark: SparkSession) -> None:
@@ -39,6 +41,11 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame, column: str, each: int) -> DataFrame:
+    """df (written already, as its rows are counted) dealt by a column to tasks of some `each` rows, before an operator that makes many rows of one."""
+    return df.repartition(min(max(1, -(-df.count() // each)), MOST_TASKS), column)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without columns that an operator is about to add; names compare without case, as Spark's do."""
     taken = {n.lower() for n in names}

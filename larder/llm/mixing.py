@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larder.llm.common import checkpoint, without
+from larder.llm.common import checkpoint
+from larder.operators.ranges import numbered, running
 
 #: Hashes have HASH_BITS bits; each histogram divides a bucket by 2 ** STEP_BITS.
 HASH_BITS, STEP_BITS = 60, 12
@@ -30,9 +31,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hashed(key: Column) -> Column:
-    """The first 15 hexadecimal digits of the MD5 of the key as text (null: of the empty string)."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hashed(key: Column, text: Column) -> Column:
+    """The first 15 hexadecimal digits of the MD5 of the key as text, a slash and the text (nulls: empty strings)."""
+    both = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("/"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 @dataclass
@@ -55,38 +57,34 @@ class Mix:
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
     """Targets by weight, filled like connected vessels: the sources whose limit is lowest for their weight are full first.
 
-    sizes: _source, source_size. share: the budget as a fraction of all sizes. One row per source, so its windows over all sources are small.
+    sizes: _source, source_size. share: the budget as a fraction of all sizes. However many sources there are, they are numbered and summed by ranges.
     """
     p, q = share
-    order = W.orderBy(F.col("_source").isNull(), "_source")
-    rows = sizes.withColumn("_n", F.row_number().over(order))
-    rows = rows.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("_n") - 1) % len(weights) + 1).cast("int")).cast("long"))
-    rows = rows.withColumn("_cap", F.col("source_size") * most)
-    fill = W.orderBy(F.col("_cap") / F.col("_w"), "_n")
-    every, upto = W.partitionBy(), fill.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns(
-        {
-            "_left": F.sum("source_size").over(every) * p - (F.sum("_cap").over(upto) - F.col("_cap")) * q,  # budget not yet given out, times q
-            "_weights": F.sum("_w").over(every) - (F.sum("_w").over(upto) - F.col("_w")),
-        }
-    )
+    rows = numbered(sizes.withColumn("_void", F.col("_source").isNull()), "_void", "_source", name="_n")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long")
+    rows = rows.withColumns({"_w": weight, "_cap": F.col("source_size") * most}).withColumn("_fill", F.col("_cap") / F.col("_w"))
+    rows = running(rows, ["_fill", "_n"], {"_given": "_cap", "_served": "_w"})
+    every = rows.agg(F.sum("source_size").alias("_all"), F.sum("_w").alias("_all_w"))
+    rows = rows.crossJoin(F.broadcast(every)).withColumns({"_left": F.col("_all") * p - F.col("_given") * q, "_weights": F.col("_all_w") - F.col("_served")})  # _left: budget not yet given out, times q
     full = F.col("_cap") * q * F.col("_weights") <= F.col("_w") * F.col("_left")
-    level = F.first(F.when(~full, F.struct("_left", "_weights")), ignorenulls=True).over(fill.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    target = F.when(full, F.col("_cap").cast("double")).otherwise(F.col("_w").cast("double") * level["_left"] / (level["_weights"] * q))
+    rows = checkpoint(rows.withColumn("_full", full).select("_source", "source_size", "_cap", "_w", "_fill", "_n", "_left", "_weights", "_full"))
+    level = rows.where(~F.col("_full")).agg(F.min_by(F.struct("_left", "_weights"), F.struct("_fill", "_n")).alias("_level"))
+    rows = rows.drop("_left", "_weights").crossJoin(F.broadcast(level))
+    target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w").cast("double") * F.col("_level._left") / (F.col("_level._weights") * q))
     return rows.select("_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> Mix:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, text: str = "text") -> Mix:
     """How often each row of docs is taken.
 
     Sources, by code point and null last, weigh `weights`, repeating, and share p/q of all sizes; a target stops
     at `most` times its source's size, the rest being shared again by weight. A source's taken size differs from its target by at
-    most half of one hash's rows. Null texts have size 0; rows that share a key share a hash and are taken
-    alike; null keys count as one key; an empty table gives an empty mix. Reruns agree. The sizes are
+    most half of one hash's rows. Hashes are of key and text, so rows that share a key, or have none, part by their
+    texts; rows equal in both are taken alike. Null texts have size 0; an empty table gives an empty mix. Reruns agree. The sizes are
     read once; what is kept of a row for the histograms is its key, source, size and hash.
     """
-    size = words(F.col("text")) if size is None else size
-    slim = checkpoint(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("size"), hashed(F.col(key)).alias("_h")))
+    size = words(F.col(text)) if size is None else size
+    slim = checkpoint(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("size"), hashed(F.col(key), F.col(text)).alias("_h")))
     sizes = slim.groupBy("_source").agg(F.sum("size").alias("source_size"))
     rows = targets(sizes, weights, share, most).withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     state = checkpoint(rows.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")))
@@ -106,8 +104,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
         side = small(bounds.select(F.col("_source").alias("_b"), "_rest", "_below"))
         over = sums.withColumn("_to", passed).join(side, F.col("_source").eqNullSafe(F.col("_b"))).where(F.col("_below") + F.col("_to") > F.col("_rest"))
         bounds = over.groupBy("_source").agg(F.min_by(F.struct("_rest", F.col("_bucket").alias("_at"), (F.col("_below") + F.col("_to") - F.col("_n")).alias("_below"), "_n"), "_bucket").alias("x")).select("_source", "x.*")
-        if shift == HASH_BITS - STEP_BITS:
-            bounds = checkpoint(bounds)
+        bounds = checkpoint(bounds)  # a row a source; the next level reads it three times
     nearer = F.col("_below") + F.col("_n") - F.col("_rest") < F.col("_rest") - F.col("_below")
     last = bounds.select(F.col("_source").alias("_b"), F.col("_at").alias("_last"), nearer.alias("_with_last"))
     # a source without a bound has nothing left to take beyond its whole times
@@ -121,16 +118,16 @@ def taken(m: Mix, key: str = "doc_id") -> DataFrame:
     return out.select(F.col("_key").alias(key), "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
-def apply(m: Mix, docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def apply(m: Mix, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs as the mix takes them: rows taken twice occur twice, others once or not at all. Columns stay as they were."""
-    kept = m.times(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), F.col(f"_row.`{source}`"), hashed(F.col(f"_row.`{key}`")))
+    kept = m.times(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), F.col(f"_row.`{source}`"), hashed(F.col(f"_row.`{key}`"), F.col(f"_row.`{text}`")))
     return kept.where("times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_i")).select("_row.*")
 
 
 #: The same in DuckDB: documents in the order of their hashes, with running totals.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS n FROM s),
 w AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, source_size * 2 AS cap FROM n),

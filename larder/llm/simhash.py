@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm import near_copies
-from larder.llm.common import checkpoint, extended, mapped, sliced, texts, with_fields, without
+from larder.llm.common import checkpoint, extended, mapped, sliced, spread, texts, with_fields, without
 from larder.llm.components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -33,6 +33,8 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 PAIRS = 24
 #: Fingerprints varied at a time, and variants matched at a time.
 PORTION, VARIANTS = 4_096, 1_000_000
+#: Fingerprints of a task that emits.
+EACH = 25_000
 
 
 def bits(numbers: list[int]) -> np.ndarray:
@@ -186,7 +188,7 @@ def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) between distinct fingerprints (one long column): each pair within RADIUS bits is joined, by its own
     link or by a chain of links, and each link joins two that steps within RADIUS lead from one to the other."""
-    keyed = fps.transform(mapped, emitted, "key long, fp long")
+    keyed = spread(fps, fps.columns[0], EACH).transform(mapped, emitted, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").transform(mapped, met, "a long, b long").distinct()
 
 

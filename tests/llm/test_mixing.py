@@ -45,7 +45,7 @@ def test_targets_and_takes(spark, docs, awkward):
         took[s] += r["taken"]
         biggest[s] = max(biggest[s], r["size"])
     for s in sizes:
-        assert abs(took[s] - want[s]) <= biggest[s] * 5  # rows of one id are taken alike
+        assert abs(took[s] - want[s]) <= biggest[s] * 5  # equal rows are taken alike
     assert sorted(map(str, rows)) == sorted(map(str, mixing.taken(mixing.mix(docs.repartition(2))).collect()))
 
 
@@ -76,6 +76,20 @@ def test_near_targets_with_many_documents(spark):
         assert abs(r["took"] - r["target"]) <= 20
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_near_targets_where_rows_share_an_id(spark, key):
+    """Rows of one id, or of none, are told apart by their texts."""
+    rng = random.Random(5)
+    rows = [(key if i % 3 else i, rng.choice(["a", "a", "b"]), f"w{i} " * rng.randrange(1, 40)) for i in range(2_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    took = mixing.apply(mixing.mix(frame), frame).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("took")).collect()
+    sizes = defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += size(t)
+    want = water(sizes)
+    assert all(abs(r["took"] - want[r["source"]]) <= 20 for r in took)
+
+
 def test_apply_repeats_rows(spark, docs):
     clashing = docs.withColumns({"times": F.lit("x"), "target": F.lit("y"), "_source": F.lit("z"), "size": F.lit(1)})
     m = mixing.mix(clashing)
