@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     Vectors and keys that are null, and vectors with null or non-finite components, take no part; other columns are not
     carried. Where lengths differ, missing components are zero. Rows repeated under one id are candidates each, but not for a
-    query of the same id; repeated queries are answered once. Fewer candidates than k give fewer rows; an empty table none. A score that
+    query of the same id; repeated queries are answered once, and the vectors of an id that has several as one query, each candidate by its scores with all of them. Fewer candidates than k give fewer rows; an empty table none. A score that
     does not fit 64 bits raises. Every query meets every shard once, in blocks of bounded size; what travels is blocks and, of each task, k rows a query.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("q"), is_query.alias("asks")).where("id IS NOT NULL AND q IS NOT NULL")
@@ -138,8 +139,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         for batch in batches:
             for ids, m_, q_ids, q_m in zip(*(batch.column(j) for j in range(4)), strict=True):
                 asked_ids = q_ids.as_py()
-                one = best.setdefault(asked_ids + q_m.as_py()[:64], Best(np.frombuffer(asked_ids, "<i8"), k))
-                queries = np.frombuffer(q_m.as_py(), "<i8").reshape(-1, len(one.ids)).T
+                asked_q = q_m.as_py()
+                one = best.setdefault(asked_ids + xxhash.xxh3_128_digest(asked_q), Best(np.frombuffer(asked_ids, "<i8"), k))
+                queries = np.frombuffer(asked_q, "<i8").reshape(-1, len(one.ids)).T
                 own = np.frombuffer(ids.as_py(), "<i8")
                 search(one, queries, own, np.frombuffer(m_.as_py(), "<i8").reshape(-1, len(own)))
         for one in best.values():
