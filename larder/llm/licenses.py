@@ -89,12 +89,27 @@ def _vectors(templates) -> tuple[dict[str, float], float, list[tuple[str, dict[s
     return idf, log(1 + len(bags)) + 1, out
 
 
+def _inverted(templates: list[tuple[str, dict[str, float]]]) -> dict[str, list[tuple[int, float]]]:
+    """The templates that hold a term, with its weight in each."""
+    out: dict[str, list[tuple[int, float]]] = {}
+    for i, (_, v) in enumerate(templates):
+        for t, w in v.items():
+            out.setdefault(t, []).append((i, w))
+    return out
+
+
 class Matcher:
     def __init__(self, templates, least: float):
         self.idf, self.other, self.templates = _vectors(templates)
         self.least = least
-        self.stretches = _vectors([*templates, *NOTICES])
-        self.words = [_terms(text.translate(ASCII)) for _, text in [*templates, *NOTICES]]
+        self.of_term = _inverted(self.templates)
+        self.stretch_idf, self.stretch_other, notices = _vectors([*templates, *NOTICES])
+        self.notices = [(name, v, len(_terms(text.translate(ASCII)))) for (name, v), (_, text) in zip(notices, [*templates, *NOTICES], strict=True)]
+        self.anchored: dict[str, list[tuple[int, int]]] = {a: [] for a in ANCHORS}  # notices and places in them, by anchor
+        for i, (_, text) in enumerate([*templates, *NOTICES]):
+            for q, w in enumerate(_terms(text.translate(ASCII))):
+                if w in self.anchored:
+                    self.anchored[w].append((i, q))
 
     def best(self, segment: str) -> tuple[float, int]:
         """(cosine to the closest template, minus its number), ties to the first."""
@@ -103,7 +118,11 @@ class Matcher:
             return 0.0, 0
         norm = sum((n * self.idf.get(t, self.other)) ** 2 for t, n in bag.items()) ** 0.5
         known = {t: n * self.idf[t] / norm for t, n in bag.items() if t in self.idf}
-        return max((round(sum(x * v.get(t, 0.0) for t, x in known.items()), 6), -i) for i, (_, v) in enumerate(self.templates))
+        sums: dict[int, float] = {}
+        for t, x in known.items():
+            for i, w in self.of_term[t]:
+                sums[i] = sums.get(i, 0.0) + x * w
+        return max(((round(s, 6), -i) for i, s in sums.items()), default=(0.0, 0))
 
     def of(self, text: str, whole: bool) -> tuple[str | None, float]:
         """The licence that a text names, and its cosine (0 if none)."""
@@ -119,15 +138,15 @@ class Matcher:
 
     def stretch(self, words: list[str]) -> tuple[float, str | None]:
         """(cosine, licence) of the closest stretch of words as long as a notice, whatever lines it runs over."""
-        idf, other, notices = self.stretches
-        at = {a: [i for i, w in enumerate(words) if w == a] for a in ANCHORS}
+        idf, other = self.stretch_idf, self.stretch_other
+        places = sorted({(k, max(i - q, 0)) for i, w in enumerate(words) if w in self.anchored for k, q in self.anchored[w]})
         best, found = 0.0, None
-        for (name, v), notice in zip(notices, self.words, strict=True):
-            for start in {max(i - q, 0) for q, w in enumerate(notice) if w in at for i in at[w]}:
-                bag = Counter(words[start : start + len(notice)])
-                dot = sum(n * idf[t] * v[t] for t, n in bag.items() if t in v)
-                if dot and (cosine := round(dot / sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()) ** 0.5, 6)) > best:
-                    best, found = cosine, name
+        for k, start in places:
+            name, v, length = self.notices[k]
+            bag = Counter(words[start : start + length])
+            dot = sum(n * idf[t] * v[t] for t, n in bag.items() if t in v)
+            if dot and (cosine := round(dot / sum((n * idf.get(t, other)) ** 2 for t, n in bag.items()) ** 0.5, 6)) > best:
+                best, found = cosine, name
         return best, found
 
 
