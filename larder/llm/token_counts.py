@@ -78,6 +78,12 @@ class Counts(dict):
         return n
 
 
+@lru_cache(maxsize=1)
+def cache(spec: str) -> Counts:
+    """A worker's second tier, which lasts over its tasks."""
+    return Counts(library(spec))
+
+
 def frequent_pieces(docs: DataFrame, text_col: str = "text", keep: int = FREQUENT) -> list[str]:
     """The pieces that occur most, from every text: each task keeps a summary of its own counts (those of
     a lossy count are dropped as the table fills, so its memory is bounded), and only summaries travel.
@@ -117,7 +123,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     docs = without(docs, ["n_bytes", "n_tokens", "over_limit"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hot = Counts(library(spec.value)), frequent.value
+        counts, hot = cache(spec.value), frequent.value
         for batch in batches:
             column = batch.column(batch.schema.names.index(text_col))
             yield extended(batch, {"n_tokens": pa.array([counts.total(t, hot) for t in texts(column)], pa.int64())})
