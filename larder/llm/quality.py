@@ -71,9 +71,15 @@ class Machine:
     v: np.ndarray
     edges: np.ndarray
 
+    def bins(self, stats: np.ndarray) -> np.ndarray:
+        return (self.edges < stats[..., None]).sum(axis=-1) + np.arange(len(STATISTICS)) * (BINS + 1) + BUCKETS
+
     def inputs(self, ids: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values: words share a norm of one, a statistic has its bin."""
-        bins = (self.edges < stats[:, None]).sum(axis=1) + np.arange(len(stats)) * (BINS + 1) + BUCKETS
+        return self.binned(ids, self.bins(stats))
+
+    @staticmethod
+    def binned(ids: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([ids, bins]), np.concatenate([np.full(len(ids), 1 / max(len(ids), 1) ** 0.5, np.float32), np.full(len(bins), 0.5, np.float32)])
 
     def raw(self, index: np.ndarray, x: np.ndarray) -> float:
@@ -83,7 +89,11 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> Machine:
-    """A machine by AdaGrad on the logistic loss. Without rows of both labels it scores the share of ones (0.5 for none)."""
+    """A machine by AdaGrad on the logistic loss. Without rows of both labels it scores the share of ones (0.5 for none).
+
+    Below 4,000 rows there are more epochs, up to eight times, so that there are as many steps. The rows' words stay as they came (two bytes each
+    from _featured); inputs are made for a batch at a time.
+    """
     rng = np.random.default_rng(seed)
     n_stats, size = len(STATISTICS), BUCKETS + len(STATISTICS) * (BINS + 1)
     y = np.array([r[2] for r in rows], np.float32)
@@ -94,16 +104,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> Machin
     if not len(y) or y.min() == y.max():
         m.v[:] = 0
         return m
-    data = [m.inputs(r[0], r[1]) for r in rows]
+    bins = m.bins(stats).astype(np.int32)
     gw, gv, g0 = np.full(size, 1e-3, np.float32), np.full((size, RANK), 1e-3, np.float32), 1e-3
     epochs = EPOCHS * max(1, min(8, 4_000 // len(rows)))
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
-            index = np.concatenate([data[i][0] for i in part])
-            x = np.concatenate([data[i][1] for i in part])
-            starts = np.concatenate([[0], np.cumsum([len(data[i][0]) for i in part])[:-1]])
+            data = [m.binned(rows[i][0], bins[i]) for i in part.tolist()]
+            index = np.concatenate([a for a, _ in data])
+            x = np.concatenate([b for _, b in data])
+            starts = np.concatenate([[0], np.cumsum([len(a) for a, _ in data])[:-1]])
             lengths = np.diff(np.append(starts, len(index)))
             vx = m.v[index] * x[:, None]
             total = np.add.reduceat(vx, starts, axis=0)
@@ -135,7 +146,7 @@ def _featured(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
             yield pa.RecordBatch.from_arrays([pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary()), b.column(1)], names=["ids", "stats", "y"])
 
     got = rows.transform(mapped, run, "ids binary, stats binary, y int").orderBy(F.xxhash64("ids", "stats"), "y").toArrow()
-    return [(np.frombuffer(i.as_py(), "<u2").astype(np.int32), np.frombuffer(s.as_py(), np.float32), y.as_py()) for i, s, y in zip(*got.columns, strict=True)]
+    return [(np.frombuffer(i.as_buffer(), "<u2"), np.frombuffer(s.as_py(), np.float32), y.as_py()) for i, s, y in zip(*got.columns, strict=True)]
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", text_col: str = "text", stated_col: str | None = "n_chars", max_rows: int = MAX_ROWS) -> Machine:
