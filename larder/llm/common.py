@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from larder.operators.lineage import checkpoint, ensure_checkpoint_dir
+from larder.operators.lineage import checkpoint, discard, ensure_checkpoint_dir, scratch
 
-__all__ = ["checkpoint", "ensure_checkpoint_dir", "extended", "mapped", "sliced", "spread", "texts", "whole_runs", "with_fields", "without"]
+__all__ = ["checkpoint", "discard", "ensure_checkpoint_dir", "extended", "mapped", "scratch", "sliced", "spread", "texts", "whole_runs", "with_fields", "without"]
 
 #: Rows and bytes of an Arrow batch that a Python operator hands back to the JVM.
 OUT_ROWS, OUT_BYTES = 2_000, 8 << 20

@@ -45,6 +45,8 @@ RULES = (*BASE, Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"))
 _HEAD, _GAP = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"(?:\s|\\[nrt])*+"
 MASKED = (*BASE, Rule("pem", 2, _HEAD + r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:" + _GAP + r"(?:Proc-Type|DEK-Info): ?[^\n\\]*+)*+(?:" + _GAP + r"[A-Za-z0-9+/]{20,}+={0,2}+)*+(?:(?<=[A-Za-z0-9+/])(?:\s|\\[nrt])++(?:[A-Za-z0-9+/]{4}){0,4}+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=))?+)"))
 MASK = "[secret]"
+#: Classes of blobs, in a table of bounded size.
+CLASSES = 1 << 18
 
 
 def blob_id(text: Column) -> Column:
@@ -102,6 +104,25 @@ def findings_by_path(history: DataFrame, findings: DataFrame, text_col: str = "t
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(findings.schema["spans"].dataType)))
 
 
+def update(history: DataFrame, folder: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger under folder doesn't list yet, adds to it, and returns the findings of all blobs scanned so far.
+
+    Each run adds a part to the tables folder/findings and folder/ledger, the ledger's last: a run that broke off before is done again, over its own parts.
+    """
+    spark = history.sparkSession
+    spans = "array<struct<start:int,`order`:int,end:int,kind:string>>"
+    none = spark.createDataFrame([], f"blob_id string, spans {spans}"), spark.createDataFrame([], "blob_id string, rule string")
+    tables = [f"{folder}/findings", f"{folder}/ledger"]
+    for table, empty in zip(tables, none, strict=True):
+        empty.write.mode("append").parquet(f"{table}/part=-1")
+    read = lambda i: spark.read.schema(none[i].schema).option("basePath", tables[i]).parquet(tables[i])
+    turn = read(1).withColumn("part", F.regexp_extract(F.input_file_name(), r"part=(-?\d+)", 1).cast("int")).agg(F.coalesce(F.max("part"), F.lit(-1))).first()[0] + 1
+    findings, seen = scan(history, read(1), text_col, rules)
+    findings.write.mode("overwrite").parquet(f"{tables[0]}/part={turn}")
+    checkpoint(seen).write.mode("overwrite").parquet(f"{tables[1]}/part={turn}")
+    return read(0).groupBy("blob_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -122,11 +143,18 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with what the rules find masked in their texts (null stays null), with MASKED PEM keys whole; other columns as they were."""
+    """docs with what the rules find masked in their texts (null stays null), with MASKED PEM keys whole; other columns as they were.
+
+    Blobs fall into CLASSES classes, and those with findings are broadcast: only texts of such classes travel to their findings.
+    """
     findings = checkpoint(scan(docs, text_col=text_col, rules=rules)[0])
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text_col}`"].alias("_text"))
-    joined = findings_by_path(whole, findings, "_text")
-    return joined.select(*[(masked(F.col("_text"), F.col("spans")) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    kind = lambda blob: F.pmod(F.xxhash64(blob), F.lit(CLASSES))
+    kinds = F.broadcast(checkpoint(findings.select(kind(F.col("blob_id")).alias("kind")).distinct()))
+    own = kind(blob_id(F.col("_text"))) == F.col("kind")
+    joined = findings_by_path(whole.join(kinds, own, "left_semi"), findings, "_text")
+    hit = joined.select(*[(masked(F.col("_text"), F.col("spans")) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return hit.unionByName(whole.join(kinds, own, "left_anti").select("_row.*"))
 
 
 def _either(words: str) -> str:
