@@ -47,7 +47,7 @@ def store(writes: DataFrame, stored: DataFrame, limit: int, folder: str) -> Data
     rows = checkpoint(judged(writes, stored, limit))
     last = rows.where("outcome = 'stored'").groupBy("ns", "key").agg(F.max_by(F.struct("content", "written"), "seq").alias("w"))
     out = last.select("ns", F.substring("key", 1, 2).alias("shard"), "key", "w.content", F.col("w.written").alias("size"))
-    out.write.mode("append").partitionBy("ns", "shard").parquet(folder)
+    out.repartitionByRange("ns", "shard", "key").write.mode("append").partitionBy("ns", "shard").parquet(folder)
     return rows.drop("content")
 
 

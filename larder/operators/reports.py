@@ -88,6 +88,16 @@ def bench_report(runs: DataFrame, scenario: str, setup: dict[str, str | int | fl
     return points.agg(F.array_sort(F.collect_list(point)).alias("scenarios")).select(F.lit("benchmark").alias("kind"), said.alias("setup"), "scenarios")
 
 
+def bench_markdown(report: DataFrame, shown: tuple[str, ...] = POINT) -> DataFrame:
+    """(markdown): a bench report (one row) as text, its setup as a table and each scenario's as one of its own, in the order of names."""
+    lines = [F.concat(F.lit(f"| {k} | "), F.coalesce(F.col(f"setup.{k}").cast("string"), F.lit("")), F.lit(" |")) for k in report.schema["setup"].dataType.names]
+    setup = F.concat(F.lit("## Setup\n\n| | |\n|---|---|\n"), F.concat_ws("\n", *lines))
+    head = F.lit("| runs | " + " | ".join(shown) + " |\n|" + "---:|" * (1 + len(shown)) + "\n")
+    cells = lambda s: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(s[c].cast("string"), F.lit("")) for c in ("runs", *shown)]), F.lit(" |"))
+    tables = F.transform("scenarios", lambda s: F.concat(F.lit("### `"), s["name"], F.lit("`\n\n"), head, cells(s)))
+    return report.select(F.concat_ws("\n\n", F.lit("# Benchmarks"), setup, F.lit("## Results"), F.array_join(tables, "\n\n")).alias("markdown"))
+
+
 def choose(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
     """The rows of the named scenarios; raises if no name is known among the rows."""
     chosen = rows.where(F.col(column).isin(names))

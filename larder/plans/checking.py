@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import rules, text
 from larder.functions.hashing import sha256_hex, valid_key
-from larder.operators import ingest, ledger
+from larder.operators import ingest, ledger, reports
 from larder.operators import requests as Q
 from larder.plans.base import RUN_SECONDS, SQL_OBJECTS, SQL_PLACED, SQL_REQUESTS, holdings, node_state, objects, requests, table
 from larder.sources import files, generators
@@ -182,7 +182,7 @@ def unique_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scenario_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return requests(spark, sf).where(F.col("op").isin("put", "head")).groupBy("op").agg(F.count("*").alias("n"))
+    return reports.choose(requests(spark, sf), "op", ["put", "head"]).groupBy("op").agg(F.count("*").alias("n"))
 
 
 _NAMES = (content_dedup, put_admission_reasons, put_outcomes, blob_verification, key_validation, path_parse, ledger_verify, refused_not_acked, final_verify, final_verify_sample, chaos_traffic, verdict, digest_diff, page_cache_note, human_bytes, parse_size, parse_peers, text_functions, claim_citation_check, stats_eviction_totals, unreachable_nodes, absent_keys, unique_objects, scenario_filter)

@@ -66,8 +66,7 @@ def put_sink(spark: SparkSession, sf: str) -> DataFrame:
     writes = twice.select((F.col("doc_id") * 2 + F.col("turn")).alias("seq"), F.lit("cas").alias("ns"), key.alias("key"), "content", F.octet_length("content").cast("long").alias("declared"))
     folder = scratch(spark, "store")
     ingest.store(writes, spark.createDataFrame([], "ns string, key string"), LIMIT, folder)
-    back = spark.read.schema("key string, content binary, size long, ns string, shard string").parquet(folder)
-    return back.select("ns", "shard", "key", "size", (sha256_hex(F.col("content")) == F.col("key")).alias("intact"))
+    return files.stored(spark, folder).select("ns", "shard", "key", "size", (sha256_hex(F.col("content")) == F.col("key")).alias("intact"))
 
 
 def stat_touch(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +95,19 @@ def bench_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("kind", "setup.nodes", "setup.smoke", F.explode("scenarios").alias("s")).select("kind", "nodes", "smoke", "s.*")
 
 
+def report_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """A bench report read back and rendered."""
+    folder = scratch(spark, "reports")
+    files.write_report(reports.bench_report(_bench(spark, sf), "op", {"nodes": 3, "seed": 42, "smoke": False}), folder, "20240101T000000Z")
+    return reports.bench_markdown(files.report(spark, f"{folder}/latest", _REPORT), ("run", "operations", "errors", "misses", "bytes"))
+
+
+def memory_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as scenarios, by their largest object."""
+    rows = table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("scenario")).agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).cast("long").alias("object_bytes"), F.count("*").alias("peak_mib"))
+    return files.markdown_table(rows.select("scenario", "object_bytes", "peak_mib"), "object_bytes")
+
+
 def scenario_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """A table a scenario, its runs by the bytes that they moved."""
     rows = Q.run_rates(requests(spark, sf), F.lit(RUN_SECONDS), "op", "run").select("op", "run", "operations", "errors", "misses", "bytes")
@@ -218,7 +230,7 @@ def repair_loop(spark: SparkSession, sf: str) -> DataFrame:
     return repair.audit_loop(contents(spark, sf).withColumn("ns", F.lit("cas")), ours, scratch(spark, "audit"), 1 << 30, repair.PAGE, repair.PAGE)
 
 
-_NAMES = (object_tree_scan, temp_sweep, output_digests, put_sink, stat_touch, bench_report, scenario_markdown, metrics_sink, build_events, fio_jobs, host_facts, corpus_keys, layered_graph, mixed_operations, config_problems, event_times, touch_stream, sweep_stream, memory_stream, convergence_poll, repair_loop)
+_NAMES = (object_tree_scan, temp_sweep, output_digests, put_sink, stat_touch, bench_report, report_markdown, scenario_markdown, memory_markdown, metrics_sink, build_events, fio_jobs, host_facts, corpus_keys, layered_graph, mixed_operations, config_problems, event_times, touch_stream, sweep_stream, memory_stream, convergence_poll, repair_loop)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _BLOCKS = " || ".join(f"sha256('bench/7/' || i || '/{n}')" for n in range(4))
@@ -242,8 +254,14 @@ ORACLES = {
   count(*) / CAST({RUN_SECONDS} AS DOUBLE) AS ops_per_sec, CAST(coalesce(sum(bytes) FILTER (error IS NULL AND status <> 404), 0) AS DOUBLE) / {RUN_SECONDS} / 1048576 AS mib_per_sec, {_POINTS} FROM requests GROUP BY op, run),
 y AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY ops_per_sec, run) - 1 AS i, count(*) OVER (PARTITION BY op) AS runs, min(ops_per_sec) OVER (PARTITION BY op) AS ops_per_sec_min, max(ops_per_sec) OVER (PARTITION BY op) AS ops_per_sec_max FROM x)
 SELECT 'benchmark' AS kind, CAST(3 AS INTEGER) AS nodes, false AS smoke, op AS name, * EXCLUDE (op, i) FROM y WHERE i = runs // 2""",
+    "report_markdown": f"""WITH {SQL_REQUESTS}, x AS (SELECT op, run, count(*) AS operations, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND status = 404) AS misses, CAST(coalesce(sum(bytes) FILTER (error IS NULL AND status <> 404), 0) AS BIGINT) AS bytes FROM requests GROUP BY op, run),
+y AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY operations, run) - 1 AS i, count(*) OVER (PARTITION BY op) AS runs FROM x), n AS (SELECT chr(10) AS n)
+SELECT '# Benchmarks' || n || n || '## Setup' || n || n || '| | |' || n || '|---|---|' || n || '| nodes | 3 |' || n || '| seed | 42 |' || n || '| smoke | false |' || n || n || '## Results' || n || n
+  || string_agg('### `' || op || '`' || n || n || '| runs | run | operations | errors | misses | bytes |' || n || '|---:|---:|---:|---:|---:|---:|' || n || '| ' || runs || ' | ' || run || ' | ' || operations || ' | ' || errors || ' | ' || misses || ' | ' || bytes || ' |', chr(10) || chr(10) ORDER BY op) AS markdown FROM y, n WHERE i = runs // 2 GROUP BY n""",
+    "memory_markdown": """WITH x AS (SELECT coalesce(source, 'none') AS scenario, CAST(coalesce(max(strlen(text)), 0) AS BIGINT) AS object_bytes, count(*) AS peak_mib FROM documents GROUP BY 1)
+SELECT '| scenario | object_bytes | peak_mib |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || scenario || ' | ' || object_bytes || ' | ' || peak_mib || ' |', chr(10) ORDER BY object_bytes, '| ' || scenario || ' | ' || object_bytes || ' | ' || peak_mib || ' |') AS markdown FROM x""",
     "scenario_markdown": f"""WITH {SQL_REQUESTS}, x AS (SELECT op, run, count(*) AS operations, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND status = 404) AS misses, CAST(coalesce(sum(bytes) FILTER (error IS NULL AND status <> 404), 0) AS BIGINT) AS bytes FROM requests GROUP BY op, run)
-SELECT op, '### `' || op || '`' || chr(10) || chr(10) || '| run | operations | errors | misses | bytes |' || chr(10) || '|---:|---:|---:|---:|---:|' || chr(10) || string_agg('| ' || run || ' | ' || operations || ' | ' || errors || ' | ' || misses || ' | ' || bytes || ' |', chr(10) ORDER BY bytes, run) AS markdown FROM x GROUP BY op""",
+SELECT op, '### `' || op || '`' || chr(10) || chr(10) || '| run | operations | errors | misses | bytes |' || chr(10) || '|---:|---:|---:|---:|---:|' || chr(10) || string_agg('| ' || run || ' | ' || operations || ' | ' || errors || ' | ' || misses || ' | ' || bytes || ' |', chr(10) ORDER BY bytes, '| ' || run) AS markdown FROM x GROUP BY op""",
     "metrics_sink": f"SELECT name, value AS metric_value FROM ({reporting.ORACLES['derived_metrics']})",
     "build_events": "SELECT CAST(50 + n AS BIGINT) AS remote_cache_hits, CAST(n % 7 + n % 5 AS BIGINT) AS locally_executed, CAST(n % 11 AS BIGINT) AS internal_actions, CAST(100 + n AS BIGINT) AS total_actions FROM (SELECT max(n_nationkey) AS n FROM nation WHERE n_nationkey % 3 = 0)",
     "fio_jobs": """SELECT n_name AS name, n_nationkey + CAST(0.5 AS DOUBLE) AS read_iops_mean, CAST(n_nationkey * 4 AS BIGINT) AS read_bw_kib_s, CAST(n_nationkey * 10 AS DOUBLE) AS read_lat_ns_p50, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 100 END AS DOUBLE) AS read_lat_ns_p99,

@@ -47,6 +47,11 @@ def blobs(spark: SparkSession, root: str) -> DataFrame:
     return files.where(valid_key(F.element_at(parts, -1))).select(F.element_at(parts, -4).alias("ns"), F.element_at(parts, -1).alias("key"), "content")
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """What ingest.store has written under folder: ns, shard (a key's first two digits), key, content, size."""
+    return spark.read.schema("key string, content binary, size long, ns string, shard string").parquet(folder)
+
+
 def output_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(name, digest) of a build's outputs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

@@ -56,6 +56,9 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["name"], r["metric_value"]) for r in files.metrics_text(spark, str(tmp_path / "m")).collect()) == [("x_total", 3.0), ("y", 1.5)]
     files.write_access_log(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+    odd = spark.createDataFrame([("x", {"path": 'a"b\\c\nd'}, 1.0)], "name string, labels map<string,string>, value double")
+    files.write_metrics(odd, str(tmp_path / "odd"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "odd")).collect()] == ['x{path="a\\"b\\\\c\\nd"} 1.0']
     assert files.host_facts(spark, {"cpus": 8, "model": None}).first()["host"] == {"cpus": "8", "model": None}
 
 

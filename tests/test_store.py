@@ -2,11 +2,14 @@ import heapq
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import eviction as E
 from larder.operators import index as I
+from larder.operators import ingest, lineage, ranges, repair
 from larder.operators import reconcile as R
+from larder.sources import files
 from larder.streaming import store as S
 
 
@@ -31,7 +34,9 @@ def sweep(objects, max_bytes, high, low, batch):
     return gone
 
 
-def test_victims_equal_the_loop(spark):
+@pytest.mark.parametrize("fan", [1_024, 2])
+def test_victims_equal_the_loop(spark, monkeypatch, fan):
+    monkeypatch.setattr(E, "FAN", fan)
     rng = random.Random(3)
     for n, batch, quota in ((0, 8, 100), (1, 8, 1), (40, 8, 10**8), (300, 16, 10**9), (300, 512, 3 * 10**9), (200, 16, 10**13)):
         data = rows(rng, n)
@@ -113,3 +118,53 @@ def test_convergence_poll(spark):
     waits = []
     out = S.convergence_poll(lambda: spark.createDataFrame([(next(states),)], "converged boolean"), 10, lambda: waits.append(1))
     assert out.first()["converged"] and len(waits) == 2
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    data = [(i, rng.randrange(5), rng.randrange(100), rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(data, "n int, k int, x long, y long").repartition(3)
+    got = {r["n"]: (r["sx"], r["sy"]) for r in ranges.running(df, ["k", "n"], {"sx": "x", "sy": "y"}).collect()}
+    a = b = 0
+    for n, _, x, y in sorted(data, key=lambda r: (r[1], r[0])):
+        assert got[n] == (a, b)
+        a, b = a + x, b + y
+    assert ranges.running(df.limit(0), ["k", "n"], {"sx": "x"}).count() == 0
+
+
+def test_audit_loop_goes_on_where_it_stopped(spark, tmp_path):
+    objects = spark.createDataFrame([("cas", f"{k:03}", k) for k in range(50)], "ns string, key string, size long")
+    ours = objects.where("size % 3 = 0").select("key")
+    folder = str(tmp_path / "audit")
+    first = repair.audit_loop(objects, ours, folder, 1_000, 4, 8, passes=2)
+    assert sorted(r["key"] for r in first.collect()) == [f"{k:03}" for k in range(16)]
+    rows = repair.audit_loop(objects, ours, folder, 1_000, 4, 8).collect()
+    assert sorted((r["pass"], r["key"], r["state"]) for r in rows) == [(k // 8, f"{k:03}", "queued" if k % 3 == 0 else "not_ours") for k in range(50)]
+
+
+def test_stored_writes(spark, tmp_path):
+    """The last of several writes of a key outside the content namespace stays; what is refused or known is not written."""
+    import hashlib
+
+    key = {b: hashlib.sha256(b).hexdigest() for b in (b"one", b"two", b"six")}
+    writes = [(1, "cas", key[b"one"], b"one", 3), (2, "cas", key[b"one"], b"one", 3), (3, "cas", key[b"two"], b"bad", 3), (4, "ac", key[b"two"], b"first", 5), (5, "ac", key[b"two"], b"second", 6), (6, "cas", key[b"six"], b"six", 3)]
+    known = spark.createDataFrame([("cas", key[b"six"])], "ns string, key string")
+    out = ingest.store(spark.createDataFrame(writes, "seq long, ns string, key string, content binary, declared long"), known, 100, str(tmp_path / "s"))
+    assert [r["outcome"] for r in out.orderBy("seq").collect()] == ["stored", "already_stored", "digest_mismatch", "stored", "stored", "already_stored"]
+    back = files.stored(spark, str(tmp_path / "s")).collect()
+    assert sorted((r["ns"], bytes(r["content"]), r["shard"]) for r in back) == [("ac", b"second", key[b"two"][:2]), ("cas", b"one", key[b"one"][:2])]
+
+
+def test_a_cluster_needs_a_checkpoint_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        lineage.ensure_checkpoint_dir(Session())
