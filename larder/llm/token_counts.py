@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,9 +20,8 @@ from pyspark.sql import types as T
 from larder.llm.bpe import read_spec
 from larder.llm.common import extended, mapped, texts, with_fields, without
 
-#: Entries of the broadcast table, of a task's summary on its way there, and of a worker's cache.
-FREQUENT, SUMMARY, CACHE = 65_536, 4_096, 400_000
-CACHED_CHARS = 48
+#: Entries of a worker's cache, and characters of what either tier holds.
+CACHE, CACHED_CHARS = 400_000, 48
 
 #: Python's white space holds all of the tokenizer's, so this can only leave a text uncut where it might be cut.
 UNEVEN = re.compile(r"\s\s|\A\s|\s\Z").search
@@ -84,25 +82,12 @@ def cache(spec: str) -> Counts:
     return Counts(library(spec))
 
 
-def frequent_pieces(docs: DataFrame, text_col: str = "text", keep: int = FREQUENT) -> list[str]:
-    """The pieces that occur most, from every text: each task keeps a summary of its own counts (those of
-    a lossy count are dropped as the table fills, so its memory is bounded), and only summaries travel.
-    It decides which lookups are fast, not what any of them returns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        floor = 0
-        for batch in batches:
-            for t in texts(batch.column(0)):
-                seen.update(pieces(t)[1:])
-                while len(seen) > 4 * FREQUENT:
-                    floor += 1
-                    seen = Counter({p: n for p, n in seen.items() if n > floor})
-        top = [(p, n) for p, n in seen.most_common(SUMMARY) if len(p) <= CACHED_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
-
-    summed = docs.select(text_col).transform(mapped, run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r[0] for r in summed.orderBy(F.desc("n"), "piece").limit(keep).collect()]
+def frequent_lengths(tokenizer) -> dict[str, int]:
+    """Number of tokens of the pieces that the vocabulary itself has after a space: a byte-pair vocabulary is made of what is frequent, so no
+    pass over the corpus and no shuffle is needed to find it. It decides which lookups are fast, not what any of them returns."""
+    every = tokenizer.decode_batch([[i] for i in range(tokenizer.get_vocab_size(with_added_tokens=False))], skip_special_tokens=False)
+    held = sorted({x[1:] for x in every if x[:1] == " " and 1 < len(x) <= CACHED_CHARS and not any(c.isspace() for c in x[1:])})
+    return {p: len(e.ids) for p, e in zip(held, tokenizer.encode_batch([" " + p for p in held], add_special_tokens=False), strict=True)}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -110,15 +95,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
 
     Counts equal those of the tokenizers library without added special tokens, truncation or
     padding; special strings inside texts count as its default has them. Null and empty texts
-    count zero. Input columns of the new names are replaced; rows with a null id stay. Two maps over
-    the input; the broadcast holds at most FREQUENT pieces of at most CACHED_CHARS characters.
+    count zero. Input columns of the new names are replaced; rows with a null id stay. One map over
+    the input; the broadcast holds no more pieces than the vocabulary has tokens, each of at most CACHED_CHARS characters.
     """
     sc = docs.sparkSession.sparkContext
     text = read_spec(tokenizer_path)
     tokenizer = library(text)
-    top = frequent_pieces(docs, text_col)
-    table = {p: len(e.ids) for p, e in zip(top, tokenizer.encode_batch([" " + p for p in top], add_special_tokens=False), strict=True)}
-    spec, frequent = sc.broadcast(text), sc.broadcast(table)
+    spec, frequent = sc.broadcast(text), sc.broadcast(frequent_lengths(tokenizer))
     new = T.StructField("n_tokens", T.LongType())
     docs = without(docs, ["n_bytes", "n_tokens", "over_limit"])
 

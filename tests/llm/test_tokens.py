@@ -128,6 +128,9 @@ def test_counts_with_full_caches():
         token_counts.CACHE = token_counts_cache
 
 
-def test_frequent_pieces_are_the_most_common(docs):
-    top = token_counts.frequent_pieces(docs, keep=5)
-    assert len(top) == 5 and all(len(p) <= token_counts.CACHED_CHARS for p in top)
+def test_frequent_lengths_are_the_library_s():
+    lib = Tokenizer.from_file(BYTE)
+    table = token_counts.frequent_lengths(lib)
+    assert 10_000 < len(table) <= lib.get_vocab_size() and {"the", "of", "and"} <= set(table)
+    assert all(len(p) <= token_counts.CACHED_CHARS and token_counts.pieces("x " + p) == ["x", p] for p in table)
+    assert all(table[p] == len(lib.encode(" " + p, add_special_tokens=False).ids) for p in sorted(table)[::97])
