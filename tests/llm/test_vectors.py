@@ -113,6 +113,21 @@ def test_lattice_links(frame, monkeypatch, homes, grid):
             assert (r["n_links"], r["component_id"]) == (0, r["vec_id"])
 
 
+def test_long_vectors(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 3_000))
+    v[20:30] = v[20] + rng.normal(size=(10, 3_000)) * 0.1
+    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_duplicates(frame).collect())
+    assert got == exact_links(rows, 0.9) and sum(r[1] for r in got) == 90
+    top = topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()
+    floors = [np.floor(256 * r).astype(np.int64) for r in v]
+    for q in (0, 20, 40):
+        scored = sorted((-int(floors[q] @ f), j) for j, f in enumerate(floors) if j != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in top if r["query_id"] == q) == [(n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+
+
 def family(n, others, noise, seed=6):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n + others, 64))
