@@ -168,20 +168,23 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     closest to a template counts, then the first by name of the licence. Columns of the new names are replaced, repeated rows stay. Texts are
     read once and don't travel: what is joined is one row a directory.
     """
-    files = without(files, ["own_license", "similarity", "license", "inherited_from", "_whole"]).withColumn("_whole", is_license_file(F.col(path_col)))
+    files = without(files, ["own_license", "similarity", "license", "inherited_from"])
+    row = F.struct(*[files[f"`{c}`"] for c in files.columns if c != text_col]).alias("_row")  # so that no name of theirs meets one of ours
+    files = files.select(row, F.col(path_col).alias("_path"), F.col(text_col).alias("_text"), is_license_file(F.col(path_col)).alias("_whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, least)
         for b in batches:
-            found = [matcher.of(t, w.as_py()) for t, w in zip(texts(b.column(b.schema.names.index(text_col))), b.column(b.schema.names.index("_whole")), strict=True)]
+            found = [matcher.of(t, w.as_py()) for t, w in zip(texts(b.column(2)), b.column(3), strict=True)]
             yield extended(b, {"own_license": pa.array([x for x, _ in found], pa.string()), "similarity": pa.array([s for _, s in found], pa.float64())})
 
     own = files.transform(mapped, run, with_fields(files, [T.StructField("own_license", T.StringType()), T.StructField("similarity", T.DoubleType())]))
-    return inherited(checkpoint(own.drop(text_col)), path_col)
+    return inherited(checkpoint(own.drop("_text")))
 
 
-def inherited(own: DataFrame, path_col: str) -> DataFrame:
-    placed = own.withColumn("_dir", directory(F.col(path_col)))
+def inherited(own: DataFrame) -> DataFrame:
+    """own (_row, _path, _whole, own_license, similarity) as scan returns it."""
+    placed = own.withColumn("_dir", directory(F.col("_path")))
     said = placed.where("_whole AND own_license IS NOT NULL").groupBy("_dir").agg(F.min(F.struct(-F.col("similarity"), "own_license"))["own_license"].alias("license"))
     said = checkpoint(said.select(F.col("_dir").alias("above"), "license"))
     dirs = placed.select("_dir").where("_dir IS NOT NULL").distinct()
@@ -192,8 +195,7 @@ def inherited(own: DataFrame, path_col: str) -> DataFrame:
     nearest = checkpoint(nearest.select(F.col("_dir").alias("_d"), "x.license", F.col("x.above").alias("_above")))
     out = placed.join(nearest, F.col("_dir") == F.col("_d"), "left")
     has = F.col("own_license").isNotNull()
-    out = out.withColumn("inherited_from", F.when(~has, F.col("_above"))).withColumn("license", F.coalesce("own_license", "license"))
-    return out.drop("_dir", "_d", "_above", "_whole")
+    return out.select("_row.*", "own_license", "similarity", F.coalesce("own_license", "license").alias("license"), F.when(~has, F.col("_above")).alias("inherited_from"))
 
 
 #: documents carry no paths: the query lays them out as a tree by source and id. The first of each hundred is its directory's licence file, the

@@ -89,5 +89,16 @@ def test_cosine_by_dense_vectors():
         assert abs(L.Matcher(L.TEMPLATES, 0).best(" ".join(words))[0] - best) < 2e-6
 
 
+def test_long_texts_and_clashing_columns(spark):
+    words = "stone river lamp license quiet " * 60_000
+    text = words + "\n# Licensed under the Apache License, Version 2.0\n" + words
+    files = spark.createDataFrame([("a/x", text), ("a/LICENSE", "MIT License. " + words[:2_000]), ("a/y", "z"), ("a/y", "z")], "path string, text string")
+    clashing = files.withColumns({"own_license": F.lit(1), "inherited_from": F.lit("x"), "_whole": F.lit(3), "above": F.lit("u"), "depth": F.lit("v"), "_d": F.lit("w"), "_above": F.lit("t"), "x": F.lit(5)})
+    got = L.scan(clashing)
+    assert {"above", "depth", "x"} <= set(got.columns)
+    rows = {(r["path"], r["own_license"], r["license"], r["inherited_from"]) for r in got.collect()}
+    assert ("a/x", "Apache-2.0", "Apache-2.0", None) in rows and got.count() == 4
+
+
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], "path string, text string")).count() == 0
