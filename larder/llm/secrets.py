@@ -56,13 +56,13 @@ def blob_id(text: Column) -> Column:
 def _matches(text: Column, rule: Rule, order: int) -> Column:
     """One struct a match: its number, the length of the gap before it, its own and its group's."""
     pattern = F.lit(rule.pattern)
-    gaps = F.split(text, rule.pattern, -1)
-    groups = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    each = F.arrays_zip(found.alias("m"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"), F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)).alias("gap"))
     rows = F.transform(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda m, i: F.struct(
+        each,
+        lambda x, i: F.struct(
             F.lit(rule.kind).alias("kind"), F.lit(order).alias("order"), F.lit(rule.least).alias("least"), i.alias("n"),
-            F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("length"), F.length(F.get(groups, i)).alias("size"),
+            F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("length"), F.length(x["g"]).alias("size"), F.octet_length(x["gap"]).alias("gap_bytes"), F.octet_length(x["m"]).alias("bytes"),
         ),
     )
     return F.when(text.rlike(rule.pattern), rows)
@@ -72,7 +72,7 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "t
     """(findings, ledger rows to add) of the blobs of history that the ledger doesn't list under every rule.
 
     findings: blob_id, spans (array of start, order, end, kind by start and the rules' order; code points, end
-    exclusive), a row per blob that has any. Ledger rows: blob_id, rule. ledger: the same two columns, or None for an empty one.
+    exclusive; start_byte and end_byte in UTF-8), a row per blob that has any. Ledger rows: blob_id, rule. ledger: the same two columns, or None for an empty one.
     A null text is the empty blob, which has no findings. Texts are grouped by blob before they are scanned, each task sending one
     copy of a text at most; equal texts cost one scan.
     """
@@ -88,8 +88,8 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "t
     found = F.concat(*[F.coalesce(F.when(F.array_contains("due", r.name), _matches(F.col("text"), r, i)), F.array()) for i, r in enumerate(rules)])
     rows = blobs.select("blob_id", F.inline(found))
     upto = W.partitionBy("blob_id", "order").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = rows.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto).cast("int")).where("size >= least")
-    spans = spans.select("blob_id", F.struct((F.col("end") - F.col("length")).alias("start"), "order", "end", "kind").alias("span"))
+    rows = rows.withColumns({"end": F.sum(F.col("gap") + F.col("length")).over(upto).cast("int"), "end_byte": F.sum(F.col("gap_bytes") + F.col("bytes")).over(upto).cast("int")})
+    spans = rows.where("size >= least").select("blob_id", F.struct((F.col("end") - F.col("length")).alias("start"), "order", "end", "kind", (F.col("end_byte") - F.col("bytes")).alias("start_byte"), "end_byte").alias("span"))
     findings = spans.groupBy("blob_id").agg(F.sort_array(F.collect_list("span")).alias("spans"))
     return findings, blobs.select("blob_id", F.explode("due").alias("rule"))
 
@@ -99,9 +99,10 @@ def findings_by_path(history: DataFrame, findings: DataFrame, text_col: str = "t
 
     findings must not be the unfinished plan of scan(): checkpointed or written, both sides of the join can be split where one blob is very common.
     """
-    history = without(history, ["blob_id", "spans"]).withColumn("blob_id", blob_id(F.col(text_col)))
-    joined = history.join(findings.withColumnRenamed("blob_id", "_b"), F.col("blob_id") == F.col("_b"), "left").drop("_b")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(findings.schema["spans"].dataType)))
+    history = without(history, ["blob_id", "spans"])
+    rows = history.select(F.struct("*").alias("_row"), blob_id(F.col(text_col)).alias("blob_id"))
+    joined = rows.join(findings, "blob_id", "left")
+    return joined.select("_row.*", "blob_id", F.coalesce("spans", F.array().cast(findings.schema["spans"].dataType)).alias("spans"))
 
 
 def update(history: DataFrame, folder: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -110,7 +111,7 @@ def update(history: DataFrame, folder: str, text_col: str = "text", rules: tuple
     Each run adds a part to the tables folder/findings and folder/ledger, the ledger's last: a run that broke off before is done again, over its own parts.
     """
     spark = history.sparkSession
-    spans = "array<struct<start:int,`order`:int,end:int,kind:string>>"
+    spans = "array<struct<start:int,`order`:int,end:int,kind:string,start_byte:int,end_byte:int>>"
     none = spark.createDataFrame([], f"blob_id string, spans {spans}"), spark.createDataFrame([], "blob_id string, rule string")
     tables = [f"{folder}/findings", f"{folder}/ledger"]
     for table, empty in zip(tables, none, strict=True):
@@ -128,18 +129,24 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """text with each stretch that spans cover replaced by MASK."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def cuts(findings: DataFrame) -> DataFrame:
+    """(blob_id, cuts): the stretches that a blob's spans cover, in bytes: where each starts and ends, and where the one before ends. Time and
+    memory grow with the number of spans, however many one blob has."""
+    rows = findings.select("blob_id", F.explode("spans").alias("s")).select("blob_id", "s.order", F.col("s.start_byte").alias("start"), F.col("s.end_byte").alias("end"))
+    place = W.partitionBy("blob_id").orderBy("start", "order")
+    before = F.max("end").over(place.rowsBetween(W.unboundedPreceding, -1))
+    opens = rows.withColumn("opens", (before.isNull() | (F.col("start") >= before)).cast("int")).withColumn("stretch", F.sum("opens").over(place.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    wide = opens.groupBy("blob_id", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    wide = wide.withColumn("last", F.coalesce(F.lag("end").over(W.partitionBy("blob_id").orderBy("stretch")), F.lit(0)))
+    return wide.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "last"))).alias("cuts"))
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when((F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"]), wider).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    merged = F.aggregate(spans, none, add)
-    kept = F.transform(merged, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"])), F.lit(MASK)))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text)))).otherwise(text)
+def masked(text: Column, stretches: Column) -> Column:
+    """text with each of the stretches (cuts of its blob) replaced by MASK."""
+    raw = text.cast("binary")
+    kept = F.transform(stretches, lambda s: F.concat(F.substring(raw, s["last"] + 1, s["start"] - s["last"]).cast("string"), F.lit(MASK)))
+    rest = F.element_at(stretches, -1)["end"]
+    return F.concat(F.array_join(kept, ""), F.substring(raw, rest + 1, F.octet_length(text) - rest).cast("string"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -151,9 +158,11 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), docs[f"`{text_col}`"].alias("_text"))
     kind = lambda blob: F.pmod(F.xxhash64(blob), F.lit(CLASSES))
     kinds = F.broadcast(checkpoint(findings.select(kind(F.col("blob_id")).alias("kind")).distinct()))
-    own = kind(blob_id(F.col("_text"))) == F.col("kind")
-    joined = findings_by_path(whole.join(kinds, own, "left_semi"), findings, "_text")
-    hit = joined.select(*[(masked(F.col("_text"), F.col("spans")) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    whole = whole.withColumn("blob_id", blob_id(F.col("_text")))
+    own = kind(F.col("blob_id")) == F.col("kind")
+    hit = whole.join(kinds, own, "left_semi").join(checkpoint(cuts(findings)), "blob_id", "left")
+    text = F.when(F.col("cuts").isNull(), F.col("_text")).otherwise(masked(F.col("_text"), F.col("cuts")))
+    hit = hit.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
     return hit.unionByName(whole.join(kinds, own, "left_anti").select("_row.*"))
 
 

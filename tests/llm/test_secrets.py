@@ -25,13 +25,13 @@ def plain(t):
 @pytest.fixture(scope="module")
 def history(spark):
     rng = random.Random(6)
-    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 25))) for _ in range(1_500)] + [None, "", "token=" + "x" * 5_000, "token=abcdef " * 500]
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 25))) for _ in range(1_500)] + [None, "", "token=" + "x" * 5_000, "token=abcdef " * 500, "é password: hunter22é " * 20_000]
     rows = [(i, t) for i, t in enumerate(texts)]
     return rows + [(5_000 + i, t) for i, t in rows[:50]] + rows[:3]
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("mine"), "blob_id": F.lit(1)})
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit("mine"), "blob_id": F.lit(1), "_b": F.lit(2), "due": F.lit(3), "kind": F.lit(4)})
 
 
 def test_spans_equal_a_plain_version(spark, history):
