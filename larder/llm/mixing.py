@@ -64,13 +64,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_n") % len(weights) + 1).cast("int")).cast("long")
     rows = rows.withColumns({"_w": weight, "_cap": F.col("source_size") * most}).withColumn("_fill", F.col("_cap") / F.col("_w"))
     rows = running(rows, ["_fill", "_n"], {"_given": "_cap", "_served": "_w"})
-    every = rows.agg(F.sum("source_size").alias("_all"), F.sum("_w").alias("_all_w"))
-    rows = rows.crossJoin(F.broadcast(every)).withColumns({"_left": F.col("_all") * p - F.col("_given") * q, "_weights": F.col("_all_w") - F.col("_served")})  # _left: budget not yet given out, times q
+    size, weights_ = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    rows = rows.withColumns({"_left": F.lit(size * p).cast("long") - F.col("_given") * q, "_weights": F.lit(weights_).cast("long") - F.col("_served")})  # _left: budget not yet given out, times q
     full = F.col("_cap") * q * F.col("_weights") <= F.col("_w") * F.col("_left")
     rows = checkpoint(rows.withColumn("_full", full).select("_source", "source_size", "_cap", "_w", "_fill", "_n", "_left", "_weights", "_full"))
-    level = rows.where(~F.col("_full")).agg(F.min_by(F.struct("_left", "_weights"), F.struct("_fill", "_n")).alias("_level"))
-    rows = rows.drop("_left", "_weights").crossJoin(F.broadcast(level))
-    target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w").cast("double") * F.col("_level._left") / (F.col("_level._weights") * q))
+    level = rows.where(~F.col("_full")).agg(F.min_by(F.struct("_left", "_weights"), F.struct("_fill", "_n")).alias("at")).first()["at"]
+    left, shared = (level["_left"], level["_weights"]) if level else (0, 1)  # without a level all are full
+    target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w").cast("double") * F.lit(left).cast("long") / F.lit(shared * q).cast("long"))
     return rows.select("_source", "source_size", target.alias("target"))
 
 
