@@ -56,6 +56,7 @@ _BSD = (
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}"
 )
+_VERBATIM = "Copyright (C) {} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"
 #: Notices that are wrapped over lines or stand inside longer ones are compared by stretches of words, with these besides TEMPLATES.
 NOTICES = (
     ("GPL-3.0", _GNU.format("", 3)), ("GPL-2.0", _GNU.format("", 2)), ("LGPL-2.1", _GNU.format("Lesser ", "2.1")), ("LGPL-3.0", _GNU.format("Lesser ", 3)), ("AGPL-3.0", _GNU.format("Affero ", 3)),
@@ -63,9 +64,20 @@ NOTICES = (
     ("BSD-3-Clause", _BSD.format("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission")),
     ("BSD-2-Clause", _BSD.format("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO")),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _VERBATIM.format("2007")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 " + _VERBATIM.format("1989, 1991")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + _VERBATIM.format("2007")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 " + _VERBATIM.format("1991, 1999")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 " + _VERBATIM.format("2007")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 #: Stretches are laid so that one of these words falls on the same word of the notice; the least cosine that counts there.
-ANCHORS = ("licensed", "license", "licence", "copyright", "spdx", "permission", "redistribution", "unencumbered", "dedicated")
+ANCHORS = ("licensed", "license", "licence", "copyright", "spdx", "permission", "redistribution", "unencumbered", "dedicated", "legal")
 LEAST_STRETCH = 0.75
 #: A line speaks of licences if, in lower case, it holds one of these.
 TRIGGERS = ("licen", "copyright", "spdx", "public domain", "all rights reserved")
@@ -164,7 +176,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     """files with own_license and similarity (null and 0 where none is near enough), license (its own, else the
     inherited one, else null) and inherited_from (the directory, else null).
 
-    Null and empty texts name none; files with a null path inherit nothing; of several licence files in a directory the
+    Null and empty texts name none, nor does a copyright line alone; files with a null path inherit nothing; of several licence files in a directory the
     closest to a template counts, then the first by name of the licence. Columns of the new names are replaced, repeated rows stay. Texts are
     read once and don't travel: what is joined is one row a directory.
     """
