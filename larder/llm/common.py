@@ -18,6 +18,8 @@ __all__ = ["checkpoint", "discard", "ensure_checkpoint_dir", "extended", "mapped
 
 #: Rows and bytes of an Arrow batch that a Python operator hands back to the JVM.
 OUT_ROWS, OUT_BYTES = 2_000, 8 << 20
+#: Bytes of a batch that the JVM hands to a Python operator: texts are long, and both sides hold a batch or two of each task.
+IN_BYTES, BATCH_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tasks that rows are spread over at most; beyond it they get more each, which pass by.
 MOST_TASKS = 20_000
 
@@ -36,8 +38,12 @@ def share_code(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema), on workers that have this package."""
-    share_code(df.sparkSession)
+    """df.mapInArrow(run, schema), on workers that have this package, in batches of IN_BYTES at most (a session that has a lower limit keeps it)."""
+    spark = df.sparkSession
+    share_code(spark)
+    limit = int(spark.conf.get(BATCH_BYTES).rstrip("b"))
+    if limit > IN_BYTES:
+        spark.conf.set(BATCH_BYTES, IN_BYTES)
     return df.mapInArrow(run, schema)
 
 
