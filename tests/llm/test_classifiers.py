@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from compare import SF
 from pyspark.sql import functions as F
 
@@ -44,6 +45,44 @@ def test_linear_time_form_equals_all_pairs():
         assert m.raw(index, x) == pytest.approx(score_of(m, index, x))
 
 
+def plain_statistics(text, stated):
+    """The numbers about a text's form, one by one."""
+    w = re.findall(r"\w+", text.lower())
+    ids = [xxhash.xxh32_intdigest(x.encode()) % quality.BUCKETS for x in w]
+    n, k, lines, chunks = max(len(text), 1), max(len(w), 1), text.split("\n"), text.split()
+    share = lambda kept: sum(map(kept, text)) / n
+    doubled, i = 0, 0
+    while i + 1 < len(text):
+        if re.fullmatch(r"[^\w\s]", text[i]) and text[i] == text[i + 1]:
+            doubled, i = doubled + 1, i + 2
+        else:
+            i += 1
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
+    return [
+        math.log1p(len(text)), math.log1p(len(w)), sum(map(len, w)) / k, len(set(ids)) / k**0.8 if ids else 1 / k**0.8, sum(a == b for a, b in zip(ids, ids[1:])) / k,
+        max(Counter(ids).values(), default=1) / k, len(lines) / k, 1 - len(set(lines)) / len(lines), share(lambda c: c in upper), len(re.findall(r"\d", text)) / n,
+        len(re.findall(r"[^\w\s]", text)) / n, doubled / k, sum(not c[-1].isalnum() for c in chunks) / max(len(chunks), 1), text.count("|") / k,
+        (n - sum(map(len, chunks))) / n, sum(len(x) < 20 for x in lines) / len(lines), math.log1p(len(text)) - math.log1p(max(stated, 0)) if stated is not None else 0.0, float(stated is not None),
+    ]
+
+
+def test_quality_equals_a_plain_version(spark, docs):
+    """Features and scores of whole texts, with every pair of features added by itself (texts of up to 300 words here)."""
+    rng = np.random.default_rng(5)
+    size = quality.BUCKETS + len(quality.STATISTICS) * (quality.BINS + 1)
+    edges = np.sort(rng.normal(0.5, 1, (len(quality.STATISTICS), quality.BINS)), axis=1).astype(np.float32)
+    m = quality.Machine(0.2, rng.normal(size=size).astype(np.float32), rng.normal(0, 0.1, (size, quality.RANK)).astype(np.float32), edges)
+    checked = 0
+    for r in quality.score(docs.where("text IS NULL OR length(text) < 2000"), m).collect():
+        text = r["text"] or ""
+        ids = sorted({xxhash.xxh32_intdigest(x.encode()) % quality.BUCKETS for x in re.findall(r"\w+", text.lower())})
+        bins = [quality.BUCKETS + j * (quality.BINS + 1) + sum(e < np.float32(v) for e in edges[j]) for j, v in enumerate(plain_statistics(text, r["n_chars"]))]
+        x = [1 / max(len(ids), 1) ** 0.5] * len(ids) + [0.5] * len(bins)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-score_of(m, ids + bins, x))), abs=1e-5)
+        checked += 1
+    assert checked > 50
+
+
 def test_machine_learns_an_interaction():
     """A label that only pairs of words decide."""
     rng = np.random.default_rng(2)
