@@ -28,7 +28,7 @@ from larder.llm.common import extended, mapped, sliced, texts, with_fields, with
 #: A word's last symbol, where the vocabulary marks word ends, is its byte's symbol plus this.
 END = 0x1000
 #: Entries of a worker's cache of encoded chunks, and the longest chunk it holds.
-CACHE, CACHED_CHARS = 400_000, 48
+CACHE, CACHED_CHARS = 200_000, 48
 
 
 def byte_symbols() -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -44,7 +46,19 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     limit = int(spark.conf.get(BATCH_BYTES).rstrip("b"))
     if limit > IN_BYTES:
         spark.conf.set(BATCH_BYTES, IN_BYTES)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives what the task has freed back to the system: workers stay, and other operators' tasks run beside them."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a system without glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidy
 
 
 def spread(df: DataFrame, column: str, each: int) -> DataFrame:

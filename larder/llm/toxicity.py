@@ -51,7 +51,7 @@ NESTED, SAME = 4, 0.9
 TERMS = 150_000
 #: Share of toxic rows, at least, among those in which a proposed voter fires.
 PRECISION = 0.6
-CACHE = 250_000
+CACHE = 100_000
 #: Finds of a voter in a text that count at most, in training and in scoring.
 MOST = 65_535
 _lexicon, _address, _threats = frozenset(LEXICON), frozenset(ADDRESS), frozenset(THREATS)
