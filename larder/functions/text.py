@@ -29,12 +29,15 @@ def parse_size(x: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """One decimal from a GiB on, whole MiB and KiB below, else bytes."""
+    """One decimal from a GiB on, whole MiB and KiB below, else bytes; halves go to the even digit. Null stays null."""
+    units = lambda bits: n / F.lit(float(1 << bits))  # noqa: E731  (by a power of two, so exact)
+    whole = F.floor(units(30))
+    tenths = whole * 10 + F.rint((units(30) - whole) * 10)
     return (
-        F.when(n >= 1 << 30, F.format_string("%.1f GiB", n / F.lit(float(1 << 30))))
-        .when(n >= 1 << 20, F.format_string("%.0f MiB", n / F.lit(float(1 << 20))))
-        .when(n >= 1 << 10, F.format_string("%.0f KiB", n / F.lit(float(1 << 10))))
-        .otherwise(F.format_string("%d B", n))
+        F.when(n >= 1 << 30, F.format_string("%.1f GiB", tenths / 10))
+        .when(n >= 1 << 20, F.format_string("%.0f MiB", F.rint(units(20))))
+        .when(n >= 1 << 10, F.format_string("%.0f KiB", F.rint(units(10))))
+        .when(n.isNotNull(), F.format_string("%d B", n))
     )
 
 

@@ -7,6 +7,7 @@ from larder.functions import rules, text
 from larder.operators import ingest
 from larder.operators import repair as R
 from larder.operators import requests as Q
+from larder.plans.checking import _human
 
 
 def test_latency_goldens(spark):
@@ -114,3 +115,14 @@ def test_writes_in_a_batch(spark):
 def test_rfc3339(spark):
     r = spark.sql("SELECT timestamp'2024-01-02 03:04:05.678901' AS t").select(text.rfc3339(F.col("t"))).first()
     assert r[0] == "2024-01-02T03:04:05.678901Z"
+
+
+def test_human_bytes_rounds_halves_to_even(spark, duck):
+    """As C does, of the exact value: 2.5 KiB is 2 KiB."""
+    ties = [k * unit + unit // 2 for unit in (1 << 10, 1 << 20) for k in (1, 2, 3, 4, 1_022, 1_023)] + [(1 << 30) * k // 4 for k in (5, 7, 9, 11, 4_001)]
+    sizes = sorted({n + d for n in ties for d in (-1, 0, 1)} | {0, 1, 1_023, 1_024, (1 << 20) - 1, (1 << 30) - 1, 1 << 53, 9007199415802266, 9007222501251482, (1 << 63) - 1})
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(text.human_bytes(F.col("n"))).collect()]
+    c = lambda n: "%.1f GiB" % (n / (1 << 30)) if n >= 1 << 30 else "%.0f MiB" % (n / (1 << 20)) if n >= 1 << 20 else "%.0f KiB" % (n / (1 << 10)) if n >= 1 << 10 else f"{n} B"  # noqa: E731, UP031
+    assert got == [c(n) for n in sizes]
+    assert got == [duck.execute(f"SELECT {_human('n')} FROM (SELECT CAST({n} AS BIGINT) AS n)").fetchone()[0] for n in sizes]
+    assert spark.range(1).select(text.human_bytes(F.lit(None).cast("long"))).first()[0] is None
