@@ -35,9 +35,11 @@ class Grid:
     tables: int
 
 
-#: By the number of vectors, up to so many: the finer the cells, the fewer unrelated vectors meet and the more tables it takes. Of pairs with a
-#: cosine of just 0.9, each finds 0.996; of unrelated pairs, one in 52, in 1,400 and in 130,000 meets (measured in 64 dimensions).
-GRIDS = ((1 << 20, Grid(1, 4, 5.0, 6)), (1 << 25, Grid(2, 4, 4.0, 16)), (1 << 62, Grid(3, 8, 4.0, 42)))
+#: By blocks: the finer the cells, the fewer unrelated vectors meet and the more tables it takes. Of pairs with a cosine of just 0.9, each
+#: finds 0.996; of unrelated pairs, one in 52, in 1,400 and in 130,000 meets (measured in 64 dimensions).
+GRIDS = ((1, Grid(1, 4, 5.0, 6)), (2, Grid(2, 4, 4.0, 16)), (3, Grid(3, 8, 4.0, 42)))
+#: The one that is used unless another is given. It is the same for tables of every size, so whether a pair is found depends on its two vectors only.
+GRID = GRIDS[0][1]
 #: Vectors at home in a cell that one task holds; fuller cells are dealt to several, and their visitors sent to each.
 HOMES = 4_096
 #: Visitors compared at a time, and linked pairs looked up at a time.
@@ -300,7 +302,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     whose key is null. Vectors of different lengths never link. Equal vectors form a class that counts as often as it has rows, so copies
     are never paired with each other; repeated rows count each; classes whose smallest key is the same (a key with several vectors) are one
     node, which has all their links. Links below `least` never occur; those at or above it are found with the
-    probability that the tables give. The grid follows the number of distinct vectors unless it is given. Other columns are not carried.
+    probability that the tables give, a pair of vectors in one table as in any other. Other columns are not carried.
     """
     fine = F.size(vector) > 0
     fine &= F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
@@ -308,10 +310,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     rows = checkpoint(vectors.select(F.col(key).cast("long").alias("id"), F.when(fine & F.col(key).isNotNull(), plain).alias("v")))
     hashed = rows.withColumn("h", F.xxhash64("v"))
     classes = checkpoint(hashed.where("v IS NOT NULL").groupBy("h", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
-    if grid is None:
-        n = classes.count()
-        grid = next(g for most, g in GRIDS if n <= most)
-    linked = checkpoint(found(classes.select(F.col("first").alias("id"), "copies", "v"), least, grid))
+    linked = checkpoint(found(classes.select(F.col("first").alias("id"), "copies", "v"), least, grid or GRID))
     degree = linked.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("others"))
     placed = degree.join(components(linked.where("other IS NOT NULL").select("id", "other")), "node", "left")
     named = classes.select("h", "v", "first", "copies").join(placed, F.col("first") == F.col("node"), "left")

@@ -197,3 +197,15 @@ def test_recall_of_the_operator(spark):
     links = int((u @ u.T >= 0.9).sum()) - len(u)
     found = lattice.near_duplicates(table).agg(F.sum("n_links")).first()[0]
     assert 0.98 * links <= found <= links
+
+
+def test_a_pair_is_found_whatever_else_the_table_holds(spark, monkeypatch):
+    """No finer cells for more vectors: here they would lose the pair."""
+    monkeypatch.setattr(lattice, "GRIDS", ((2, lattice.GRIDS[0][1]), (1 << 62, lattice.Grid(3, 8, 400.0, 1))))
+    a, b = just_near(1, 64, 4)
+    others = np.random.default_rng(5).normal(size=(4, 64))
+    for more in (others[:0], others):
+        v = np.concatenate([a, b * 1.0000001 + a * 0.01, more])
+        table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicates(table).collect()}
+        assert got == {0: (1, 0), 1: (1, 0)} | {i: (0, i) for i in range(2, len(v))}
